@@ -65,8 +65,8 @@ def numbered_within(
     carried = pieces.withColumn("_carried", F.sum("_rows").over(earlier)).filter(F.col("_carried").isNotNull())
     carried = carried.select("_part", "_carried", *[F.col(k).alias(f"_k_{k}") for k in keys])
     local = Window.partitionBy("_part", *keys).orderBy("_slot")
-    rows = slots.withColumn("_local", F.row_number().over(local)).withColumnRenamed("_part", "_at")
-    same = F.col("_at") == F.col("_part")
+    rows = slots.withColumn("_local", F.row_number().over(local)).withColumnRenamed("_part", "_home")
+    same = F.col("_home") == F.col("_part")
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
     return (
