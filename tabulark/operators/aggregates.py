@@ -38,8 +38,8 @@ def having(
     names = {(field, function): f"{function}_{field}" for field, function, *_ in conditions}
     result = df.groupBy(*keys).agg(*[_FUNCTIONS[function](field).alias(n) for (field, function), n in names.items()])
     tests = []
-    for field, function, *rest in conditions:
-        value, op = (*rest, None, "=")[:2] if len(rest) < 2 else rest
+    for field, function, value, *given in conditions:
+        op = given[0] if given else "="
         column = F.col(names[field, function])
         if op == "exists":
             tests.append(column.isNotNull())

@@ -234,13 +234,13 @@ def place_facets(spark, sf_dir, condition, active):
 
 
 def place_sql(condition: str, active: str = "''") -> str:
+    chosen = f"(SELECT * FROM customer WHERE {condition})"
     return (
-        f"(SELECT 'n' || n_nationkey AS value, 'r' || n_regionkey AS parent, count(c_custkey) AS count, 2 AS level, "
-        f"'n' || n_nationkey IN ({active}) AS active FROM nation LEFT JOIN (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey "
-        f"WHERE {condition}) c ON c_nationkey = nation.n_nationkey GROUP BY ALL UNION ALL "
+        "(SELECT 'n' || n_nationkey AS value, 'r' || n_regionkey AS parent, count(c_custkey) AS count, 2 AS level, "
+        f"'n' || n_nationkey IN ({active}) AS active FROM nation LEFT JOIN {chosen} ON c_nationkey = n_nationkey "
+        "GROUP BY n_nationkey, n_regionkey UNION ALL "
         f"SELECT 'r' || r_regionkey, NULL, count(c_custkey), 1, 'r' || r_regionkey IN ({active}) FROM region "
-        f"LEFT JOIN (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE {condition}) c "
-        "ON n_regionkey = r_regionkey GROUP BY ALL)"
+        f"JOIN nation ON n_regionkey = r_regionkey LEFT JOIN {chosen} ON c_nationkey = n_nationkey GROUP BY r_regionkey)"
     )
 
 

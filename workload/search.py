@@ -1 +1,59 @@
-"""Pending."""
+"""Search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tabulark.operators import search
+from workload import registered, table
+from workload.sorts import WORDS, search_sql
+
+
+@registered(
+    f"SELECT 'text' AS field, term, doc_id, count(*) AS tf FROM {WORDS} GROUP BY term, doc_id UNION ALL "
+    "SELECT 'source', lower(source), doc_id, 1 FROM documents"
+)
+def index_build(spark, sf_dir):
+    return search.index(table(spark, sf_dir, "documents"), "doc_id", {"text": "text", "source": "string"})
+
+
+@registered(
+    f"SELECT doc_id, score, 'any' AS mode FROM {search_sql(['for', 'with'])} UNION ALL "
+    f"SELECT doc_id, score, 'all' FROM {search_sql(['for', 'with'])} WHERE terms = 2"
+)
+def keyword_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    keys = search.terms_of("For with")
+    some = search.search(docs, "doc_id", "text", keys).withColumn("mode", F.lit("any"))
+    every = search.search(docs, "doc_id", "text", keys, "AND").withColumn("mode", F.lit("all"))
+    return some.unionByName(every).drop("terms")
+
+
+@registered(
+    f"SELECT term, count(DISTINCT doc_id) AS results FROM {WORDS} WHERE term LIKE 'th%' GROUP BY term ORDER BY results DESC, term LIMIT 10"
+)
+def keyword_completion(spark, sf_dir):
+    return search.completions(table(spark, sf_dir, "documents"), "text", "th")
+
+
+@registered(
+    f"WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM {WORDS} GROUP BY ALL), "
+    f"len AS (SELECT doc_id, count(*) AS length FROM {WORDS} GROUP BY doc_id), "
+    "seed AS (SELECT term, tf AS seed_tf FROM tf WHERE doc_id = 1), "
+    "idf AS (SELECT term, ln((SELECT count(*) FROM documents)::double / count(*)) AS idf FROM tf SEMI JOIN seed USING (term) GROUP BY term) "
+    "SELECT doc_id, round(sum(tf * seed_tf * idf * idf) / sqrt(length), 4) AS score FROM tf JOIN seed USING (term) "
+    "JOIN idf USING (term) JOIN len USING (doc_id) WHERE doc_id <> 1 GROUP BY doc_id, length ORDER BY score DESC, doc_id LIMIT 10"
+)
+def more_like_this(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.more_like_this(docs, "doc_id", "text", 1)
+
+
+@registered(
+    "SELECT doc_id, 'https://data.example.org/dataset/' || doc_id AS url, 'dataset' AS entity_type, "
+    "lang || ':' || source AS lang_source FROM documents"
+)
+def synthetic_index_columns(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    values = {"lang_source": F.concat_ws(":", "lang", "source")}
+    return search.with_index_columns(docs, "https://data.example.org/dataset/", "doc_id", "dataset", values).drop("lang", "source")
