@@ -12,7 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulark.operators.predicates import words
-from tabulark.scale import salted_join
+from tabulark.scale import lookup_join
+from tabulark.scratch import cut
+
+
+def exploded(docs: DataFrame, terms: Column, *keep: str, name: str = "term") -> DataFrame:
+    """One row per term. The outer form spares the size and NULL checks that would cut the text again."""
+    return docs.select(*keep, F.explode_outer(terms).alias(name)).filter(F.col(name).isNotNull())
 
 
 def index(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
@@ -25,8 +31,8 @@ def index(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
         terms = words(name) if kind == "text" else F.array_compact(F.array(F.lower(name)))
         return F.transform(terms, lambda term: F.struct(F.lit(name).alias("field"), term.alias("term")))
 
-    each = docs.select(key, F.explode(F.concat(*[entries(*pair) for pair in fields.items()])).alias("entry"))
-    return each.groupBy("entry.field", "entry.term", key).agg(F.count(F.lit(1)).alias("tf"))
+    every = F.concat(*[entries(*pair) for pair in fields.items()])
+    return exploded(docs, every, key, name="entry").groupBy("entry.field", "entry.term", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def terms_of(keys: str | Sequence[str], mode: str = "terms") -> list[str]:
@@ -47,8 +53,7 @@ def phrase(field: str | Column, text: str) -> Column:
 
 def _frequencies(docs: DataFrame, key: str, field: str, terms: Sequence[str]) -> DataFrame:
     wanted = F.filter(words(field), lambda w: w.isin(*terms))
-    each = docs.select(key, F.explode(wanted).alias("term"))
-    return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded(docs, wanted, key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def search(docs: DataFrame, key: str, field: str, keys: Sequence[str], conjunction: str = "OR") -> DataFrame:
@@ -69,8 +74,7 @@ def search(docs: DataFrame, key: str, field: str, keys: Sequence[str], conjuncti
 def completions(docs: DataFrame, field: str, prefix: str, limit: int = 10) -> DataFrame:
     """Words that begin with the prefix, with the number of documents that hold them."""
     starts = F.filter(F.array_distinct(words(field)), lambda w: w.startswith(prefix.lower()))
-    each = docs.select(F.explode(starts).alias("term"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("results")).orderBy(F.desc("results"), "term").limit(limit)
+    return exploded(docs, starts).groupBy("term").agg(F.count(F.lit(1)).alias("results")).orderBy(F.desc("results"), "term").limit(limit)
 
 
 def more_like_this(docs: DataFrame, key: str, field: str, item, limit: int = 10) -> DataFrame:
@@ -78,16 +82,14 @@ def more_like_this(docs: DataFrame, key: str, field: str, item, limit: int = 10)
 
     Only the item's own terms are matched, so the pairs are (document, shared term).
     """
-    seed = docs.filter(F.col(key) == item).select(F.explode(words(field)).alias("term"))
-    seed = seed.groupBy("term").agg(F.count(F.lit(1)).alias("seed_tf"))
+    seed = exploded(docs.filter(F.col(key) == item), words(field)).groupBy("term").agg(F.count(F.lit(1)).alias("seed_tf"))
     # The length is taken below the explode: beside it, it would be worked out per word.
     sized = docs.withColumn("length", F.size(words(field)))
-    each = sized.select(key, "length", F.explode(words(field)).alias("term"))
-    tf = each.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    shared = salted_join(tf, seed, ["term"])
+    tf = exploded(sized, words(field), key, "length").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    shared = cut(lookup_join(tf, seed, ["term"]))
     total = docs.count()
     rarity = shared.groupBy("term").agg(F.log(F.lit(float(total)) / F.count(F.lit(1))).alias("idf"))
-    weighted = salted_join(shared, rarity, ["term"])
+    weighted = lookup_join(shared, rarity, ["term"])
     weight = F.col("tf") * F.col("seed_tf") * F.col("idf") * F.col("idf")
     scores = weighted.filter(F.col(key) != item).groupBy(key, "length").agg(F.sum(weight).alias("weight"))
     score = F.round(F.col("weight") / F.sqrt("length"), 4)

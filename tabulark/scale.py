@@ -142,3 +142,10 @@ def salted_join(
 def small_or_plain(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Hint a broadcast only when the rows are counted and few; else leave the choice to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = 10_000) -> DataFrame:
+    """Join to a lookup that is usually small: broadcast if counted so, else salted."""
+    if lookup.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(lookup), list(keys), how)
+    return salted_join(rows, lookup, keys, how)
