@@ -108,15 +108,27 @@ def interval_text(seconds: str | Column, granularity: int = 2) -> Column:
         name = F.when(n == 1, F.lit(one)).otherwise(F.lit(many))
         steps.append(F.when(n > 0, F.concat_ws(" ", n.cast("string"), name)).otherwise(F.lit("")))
         left = F.pmod(left, F.lit(size))
-    units = F.array(*steps)
-    first = F.array_position(F.transform(units, lambda u: u != ""), True)
-    run = F.slice(units, F.greatest(first, F.lit(1)).cast("int"), granularity)
-    gap = F.array_position(run, "")
-    kept = F.when(gap > 0, F.slice(run, F.lit(1), (F.greatest(gap, F.lit(1)) - 1).cast("int"))).otherwise(run)
-    text = F.when(first == 0, F.lit("0 sec")).otherwise(F.array_join(kept, " "))
+
+    def shown(units: Column) -> Column:
+        first = F.array_position(F.transform(units, lambda u: u != ""), True)
+        run = F.slice(units, F.greatest(first, F.lit(1)).cast("int"), granularity)
+        return F.when(first == 0, F.lit("0 sec")).otherwise(_joined(run))
+
+    # One-element arrays: the texts are worked out once, though named several times.
+    text = F.transform(F.array(F.array(*steps)), shown)[0]
     return F.when(_column(seconds).isNull(), F.lit("")).otherwise(text)
 
 
+def _joined(run: Column) -> Column:
+    """The texts before the first empty one, joined by blanks."""
+
+    def before_gap(texts: Column) -> Column:
+        gap = F.array_position(texts, "").cast("int")
+        return F.when(gap > 0, F.slice(texts, F.lit(1), F.greatest(gap, F.lit(1)) - 1)).otherwise(texts)
+
+    return F.array_join(F.transform(F.array(run), before_gap)[0], " ")
+
+
 def zone_of_offset(seconds: str | Column) -> Column:
     """The zone name of a standard offset, UTC if none has it."""
     entries = [F.lit(x) for pair in ZONES_BY_OFFSET.items() for x in pair]

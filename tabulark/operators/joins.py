@@ -26,7 +26,7 @@ def with_children(parents: DataFrame, children: DataFrame, key: str) -> DataFram
     Written from the children's side, where hot keys can be salted.
     """
     matched = salted_join(children, parents, [key])
-    lonely = parents.join(children.select(key), key, "left_anti")
+    lonely = parents.join(children.select(key).distinct(), key, "left_anti")
     return matched.unionByName(lonely, allowMissingColumns=True)
 
 
@@ -78,7 +78,7 @@ def exists_or(rows: DataFrame, others: DataFrame, key: str, local: Column) -> Da
 
 
 def not_exists(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
-    return rows.join(others.select(key), key, "left_anti")
+    return rows.join(others.select(key).distinct(), key, "left_anti")
 
 
 def with_distinct_count(rows: DataFrame, others: DataFrame, key: str, field: str, more_than: int = 0) -> DataFrame:

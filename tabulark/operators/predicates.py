@@ -120,7 +120,7 @@ def granted(items: DataFrame, grants: DataFrame, item_id: str, pairs: Sequence[t
     if bypass:
         return items
     held = group("OR", [(F.col("gid") == gid) & (F.col("realm") == realm) for gid, realm in pairs])
-    open_ids = grants.filter(held & (F.col("grant_view") >= 1)).select(item_id)
+    open_ids = grants.filter(held & (F.col("grant_view") >= 1)).select(item_id).distinct()
     return items.join(open_ids, item_id, "left_semi")
 
 
@@ -172,8 +172,8 @@ def full_text(field: str | Column, op: str, term: str | None = None) -> Column:
 
 def exclude_items(items: DataFrame, status: DataFrame, key: str, hidden: Column, published: Column) -> DataFrame:
     """Drop hidden items and keep only published ones, by a status table."""
-    gone = status.filter(hidden).select(key)
-    live = status.filter(published).select(key)
+    gone = status.filter(hidden).select(key).distinct()
+    live = status.filter(published).select(key).distinct()
     return items.join(live, key, "left_semi").join(gone, key, "left_anti")
 
 

@@ -1,9 +1,9 @@
 """Skew-proof building blocks: numbering, folding and joining without a hot task.
 
-Any key may hold a third of all rows, so nothing here puts one key's rows into
-one task. Sorting is by range on a total order, which splits a hot key over many
-partitions; what crosses a partition border is carried over in a table with at
-most one row per partition.
+Any key may hold a third of all rows, so nothing here puts an unbounded key group into
+one task. A fixed-size sketch finds out whether the groups are small; if that cannot be
+shown, sorting is by range on a total order, which splits a hot key over many partitions, and
+what crosses a partition border is carried over in a table of at most one row per partition.
 """
 
 from __future__ import annotations
@@ -18,15 +18,39 @@ from tabulark.scratch import cut
 # monotonically_increasing_id: partition number above, row number below this bit.
 _ROW_BITS = 33
 
+# Keys a sketch keeps, the largest group one task sorts, and the smallest key worth salting.
+TRACKED = 10_000
+GROUP_LIMIT = 1_000_000
+HOT_ROWS = 100_000
+
 
 def _column(item: str | Column) -> Column:
     return F.col(item) if isinstance(item, str) else item
 
 
 def _sorted_slots(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
-    """Sorted rows with ``_part`` (partition) and ``_slot`` (place, rising with the sort)."""
-    fixed = cut(df.orderBy(*order_by)).withColumn("_slot", F.monotonically_increasing_id())
-    return fixed.withColumn("_part", F.shiftright("_slot", _ROW_BITS))
+    """Sorted rows with ``_part`` (partition) and ``_slot`` (place, rising with the sort), written once."""
+    placed = df.orderBy(*order_by).withColumn("_slot", F.monotonically_increasing_id())
+    return cut(placed, "sorted").withColumn("_part", F.shiftright("_slot", _ROW_BITS))
+
+
+def _sketch(df: DataFrame, keys: Sequence[str | Column], most: int) -> tuple[list[tuple[int, int]], int]:
+    """(key hash, estimated rows) of the largest groups, and the number of rows: one pass, fixed memory."""
+    hashed = df.select(F.xxhash64(*[_column(k) for k in keys]).alias("h"))
+    found = hashed.agg(
+        F.expr(f"approx_top_k(h, {most}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
+    ).first()
+    return [(entry["item"], entry["count"]) for entry in found["top"] or []], found["n"]
+
+
+def groups_fit(df: DataFrame, keys: Sequence[str | Column], limit: int = GROUP_LIMIT) -> bool:
+    """Whether every key group is shown to have at most ``limit`` rows.
+
+    The sketch never underestimates a tracked key, and an untracked one has at most its error.
+    """
+    top, rows = _sketch(df, keys, 1)
+    error = 3.5 * rows / TRACKED
+    return rows <= limit or (error <= limit and all(count <= limit for _, count in top))
 
 
 def numbered(df: DataFrame, *order_by: str | Column, name: str = "position", start: int = 1) -> DataFrame:
@@ -52,13 +76,17 @@ def numbered_within(
     keys: Sequence[str],
     order_by: Sequence[str | Column],
     name: str = "position",
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Number rows inside each key group by a total order, splitting large groups.
 
-    The local number counts inside (partition, key), so no task sees more than one
+    Groups that are shown to be small take a plain window. Else the local number counts inside (partition, key), so no task sees more than one
     sort partition; ``carried`` adds the rows of the same key in earlier partitions.
     Only the first key of a partition can be carried, hence its broadcast.
     """
+    if groups_fit(df, keys, limit):
+        whole = Window.partitionBy(*keys).orderBy(*order_by)
+        return df.withColumn(name, F.row_number().over(whole).cast("bigint"))
     slots = _sorted_slots(df, [*keys, *order_by])
     pieces = slots.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,13 +111,14 @@ def folded(
     item: Column,
     name: str,
     size: int = 1000,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Fold child rows into ordered arrays of at most ``size`` items, numbered by ``chunk``.
 
     A usual parent has the one chunk 0; a hot parent has many, and no row or task
     ever holds all of its children.
     """
-    placed = numbered_within(df, keys, order_by, name="_place")
+    placed = numbered_within(df, keys, order_by, name="_place", limit=limit)
     chunk = F.floor((F.col("_place") - 1) / F.lit(size)).cast("int").alias("chunk")
     return (
         placed.groupBy(*keys, chunk)
@@ -99,18 +128,13 @@ def folded(
     )
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str | Column], share: float = 0.02, tracked: int = 10_000) -> list[int]:
+def hot_keys(df: DataFrame, keys: Sequence[str | Column], share: float = 0.02, min_rows: int = HOT_ROWS) -> list[int]:
     """Hashes of the keys that hold at least ``share`` of the rows (at most 1/share values).
 
-    One pass with a fixed-size sketch per task. The estimate only decides which
-    keys get salted, never which rows are kept.
+    The estimate only decides which keys get salted, never which rows are kept.
     """
-    most = int(1 / share)
-    hashed = df.select(F.xxhash64(*[_column(k) for k in keys]).alias("h"))
-    found = hashed.agg(
-        F.expr(f"approx_top_k(h, {most}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")
-    ).first()
-    return [entry["item"] for entry in found["top"] if entry["count"] >= max(share * found["n"], 2)]
+    top, rows = _sketch(df, keys, int(1 / share))
+    return [item for item, count in top if count >= max(share * rows, min_rows)]
 
 
 def salted_join(
@@ -120,6 +144,7 @@ def salted_join(
     how: str = "inner",
     salts: int = 32,
     share: float = 0.02,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join many ``rows`` per key to ``lookup`` with hot keys spread over ``salts`` tasks.
 
@@ -128,7 +153,7 @@ def salted_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    hot = hot_keys(rows, keys, share)
+    hot = hot_keys(rows, keys, share, min_rows)
     if not hot:
         return rows.join(lookup, list(keys), how)
     is_hot = F.xxhash64(*[F.col(k) for k in keys]).isin(hot)

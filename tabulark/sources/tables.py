@@ -6,11 +6,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabulark.scale import salted_join
 
 
 def embedded_rows(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
-    """Literal rows with declared column types."""
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
+    """Literal rows with declared column types, kept inside the plan."""
+    fields = T.StructType.fromDDL(schema).fields
+    each = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields, strict=True)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*each)))
 
 
 def named_values(df: DataFrame, name: str, names: Sequence[str], value: str, value_schema: str) -> DataFrame:
@@ -63,7 +70,7 @@ def job_listing(jobs: DataFrame, id_column: str, status: DataFrame, resource: st
     listed = jobs.filter(F.size(pieces) == 2).select(
         F.col(id_column), pieces[0].alias(resource), pieces[1].alias("version")
     )
-    return listed.join(status, resource, "left")
+    return salted_join(listed, status, [resource], "left")
 
 
 def table_summary(df: DataFrame, name: str, indexes: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulark.scale import salted_join
+
 
 def insert_rows(target: DataFrame, rows: DataFrame, defaults: Mapping[str, object] | None = None) -> DataFrame:
     """Append rows; columns they lack take the default, else NULL."""
@@ -75,8 +77,9 @@ def purge_prior(
     The newest comes from a partial aggregate, so a resource with very many versions
     is reduced before the shuffle.
     """
-    others = versions.join(purged_ids.select(id_column), id_column, "left_anti")
-    purged = versions.join(purged_ids.select(id_column), id_column, "left_semi")
+    ids = purged_ids.select(id_column)
+    others = salted_join(versions, ids, [id_column], "left_anti")
+    purged = salted_join(versions, ids, [id_column], "left_semi")
     newest = (
         purged.groupBy(id_column)
         .agg(F.max_by(F.struct(*versions.columns), F.struct(*version)).alias("_row"))
