@@ -1,7 +1,8 @@
 """Facets: counts per value and the rules that show, hide and nest them.
 
 Facet rows are (facet, value, count, active, parent). They are aggregates, so a group
-of siblings is a set of distinct values, whatever the number of items behind it.
+of siblings is a set of distinct values, whatever the number of items behind it. A rule that
+reads them more than once writes them first: the items are counted once.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulark.scratch import cut
+
 
 def counts(df: DataFrame, fields: Mapping[str, str | Column]) -> DataFrame:
     """Counts of several facets in one pass and one shuffle, merged into one list."""
@@ -76,6 +79,7 @@ def slider(values: DataFrame, step: int, low: int | None = None, high: int | Non
 
 def hide_only_item(facets: DataFrame) -> DataFrame:
     """Drop a facet's value when it is the only one and not selected."""
+    facets = cut(facets, "facets")
     sizes = facets.groupBy("facet").agg(F.count(F.lit(1)).alias("_values"))
     return facets.join(sizes, "facet").filter((F.col("_values") > 1) | F.col("active")).drop("_values")
 
@@ -89,6 +93,7 @@ def hide_non_narrowing(facets: DataFrame, total: int) -> DataFrame:
 
     Rows carry ``level`` (1 at the top); the deepest level is settled first.
     """
+    facets = cut(facets, "facets")
     narrowing = ~F.col("count").isin(0, total) | F.col("active")
     depth = facets.agg(F.max("level")).first()[0] or 0
     kept = facets.filter((F.col("level") == depth) & narrowing)
@@ -103,7 +108,8 @@ def hide_non_narrowing(facets: DataFrame, total: int) -> DataFrame:
 
 def deepest_only(facets: DataFrame) -> DataFrame:
     """Values that are nobody's parent."""
-    parents = facets.select("facet", F.col("parent").alias("value")).filter(F.col("value").isNotNull())
+    facets = cut(facets, "facets")
+    parents = facets.select("facet", F.col("parent").alias("value")).filter(F.col("value").isNotNull()).distinct()
     return facets.join(parents, ["facet", "value"], "left_anti")
 
 
@@ -116,6 +122,7 @@ def siblings(hierarchy: DataFrame, values: DataFrame) -> DataFrame:
 
 def show_siblings(facets: DataFrame, hierarchy: DataFrame, parents_too: bool = True) -> DataFrame:
     """Append missing siblings with count 0; only those of active values unless ``parents_too``."""
+    facets, hierarchy = cut(facets, "facets"), cut(hierarchy, "hierarchy")
     around = facets if parents_too else facets.filter("active")
     new = siblings(hierarchy, around).join(facets.select("value"), "value", "left_anti")
     shown = new.withColumn("count", F.lit(0)).withColumn("active", F.lit(False))
@@ -127,9 +134,11 @@ def hide_inactive_siblings(facets: DataFrame, hierarchy: DataFrame | None = None
 
     Parents of the selection count as selected. Without a hierarchy every inactive value goes.
     """
+    facets = cut(facets, "facets")
     chosen = facets.filter("active").select("value")
     if hierarchy is None:
         return facets.filter("active") if not chosen.isEmpty() else facets
+    hierarchy = cut(hierarchy, "hierarchy")
     if not keep_parents_active:
         above = hierarchy.join(chosen, "value", "left_semi").select(F.col("parent").alias("value"))
         chosen = chosen.unionByName(above.filter(F.col("value").isNotNull())).distinct()
@@ -178,6 +187,7 @@ def tree(facets: DataFrame, levels: int) -> DataFrame:
         inner = F.concat(F.expr("substring(_text, 1, length(_text) - 1)"), F.lit(',"children":['), children, F.lit("]}"))
         return F.when(children.isNull(), F.col("_text")).otherwise(inner)
 
+    facets = cut(facets, "facets")
     below = None
     for level in range(levels, 0, -1):
         here = facets.filter(F.col("level") == level).withColumn("_text", node(None))

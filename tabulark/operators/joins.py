@@ -31,11 +31,18 @@ def with_children(parents: DataFrame, children: DataFrame, key: str) -> DataFram
 
 
 def on_text_key(
-    rows: DataFrame, text_key: str, lookup: DataFrame, number_key: str, extra: Column | None = None
+    rows: DataFrame, text_key: str, lookup: DataFrame, number_key: str, as_text: bool = False, extra: Column | None = None
 ) -> DataFrame:
-    """Join a text id to a number id; text that is no whole number matches nothing."""
-    typed = rows.withColumn("_id", F.expr(f"try_cast(`{text_key}` AS bigint)")).filter(F.col("_id").isNotNull())
-    keyed = lookup.withColumn("_id", F.col(number_key).cast("bigint"))
+    """Join a text id to a number id, as numbers or, if ``as_text``, as texts.
+
+    As numbers ``07`` matches 7, and text that is no whole number matches nothing.
+    """
+    if as_text:
+        typed = rows.withColumn("_id", F.col(text_key))
+        keyed = lookup.withColumn("_id", F.col(number_key).cast("string"))
+    else:
+        typed = rows.withColumn("_id", F.col(text_key).try_cast("bigint")).filter(F.col("_id").isNotNull())
+        keyed = lookup.withColumn("_id", F.col(number_key).cast("bigint"))
     joined = salted_join(typed, keyed, ["_id"]).drop("_id")
     return joined if extra is None else joined.filter(extra)
 

@@ -161,11 +161,22 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_column(text)), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def phrase(field: str | Column, text: str) -> Column:
+    """The text's words one after the other as whole words, without regard to case.
+
+    A text without a word is found nowhere.
+    """
+    parts = re.findall(r"[^\W_]+", text.lower())
+    if not parts:
+        return F.lit(False)
+    pattern = r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(parts) + r"(?![\p{L}\p{N}])"
+    return F.lower(_column(field)).rlike(pattern)
+
+
 def full_text(field: str | Column, op: str, term: str | None = None) -> Column:
     """Full-text fields know four operators: contains, does not contain, empty, not empty."""
     if op in ("=", "!="):
-        found = F.array_contains(words(field), term.lower())
-        return found if op == "=" else ~found
+        return phrase(field, term) if op == "=" else ~phrase(field, term)
     blank = F.coalesce(F.trim(_column(field)), F.lit("")) == ""
     return {"empty": blank, "not empty": ~blank}[op]
 

@@ -6,13 +6,14 @@ filter the words of a text before anything is shuffled, so a search moves hits o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulark.operators.predicates import words
-from tabulark.scale import lookup_join
+from tabulark.scale import lookup_join, spread
 from tabulark.scratch import cut
 
 
@@ -31,6 +32,7 @@ def index(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
         terms = words(name) if kind == "text" else F.array_compact(F.array(F.lower(name)))
         return F.transform(terms, lambda term: F.struct(F.lit(name).alias("field"), term.alias("term")))
 
+    docs = spread(docs.select(key, *fields), key)
     every = F.concat(*[entries(*pair) for pair in fields.items()])
     return exploded(docs, every, key, name="entry").groupBy("entry.field", "entry.term", key).agg(F.count(F.lit(1)).alias("tf"))
 
@@ -44,36 +46,37 @@ def terms_of(keys: str | Sequence[str], mode: str = "terms") -> list[str]:
     return keys.split()
 
 
-def phrase(field: str | Column, text: str) -> Column:
-    """The whole phrase as consecutive words of a text."""
-    parts = [p for p in "".join(c if c.isalnum() else " " for c in text.lower()).split()]
-    column = F.lower(F.col(field) if isinstance(field, str) else field)
-    return column.rlike(r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(parts) + r"(?![\p{L}\p{N}])")
-
-
-def _frequencies(docs: DataFrame, key: str, field: str, terms: Sequence[str]) -> DataFrame:
-    wanted = F.filter(words(field), lambda w: w.isin(*terms))
-    return exploded(docs, wanted, key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def search(docs: DataFrame, key: str, field: str, keys: Sequence[str], conjunction: str = "OR") -> DataFrame:
-    """Matching documents with a relevance score; at least one keyword is required."""
+    """Matching documents with a relevance score; at least one keyword is required.
+
+    One pass over the texts counts every keyword per document; the hits are written, and
+    scored there without a shuffle. Document frequencies are one number per keyword.
+    """
     terms = sorted({k.lower() for k in keys if k.strip()})
     if not terms:
         raise ValueError("a search needs at least one keyword")
-    found = _frequencies(docs, key, field, terms)
+
+    def equals(term: str):
+        return lambda word: word == term
+
+    def counts(found: Column) -> Column:
+        return F.array(*[F.size(F.filter(found, equals(t))) for t in terms])
+
+    # A one-element array binds the words, so they are cut once for all keywords.
+    tf = F.transform(F.array(words(field)), counts)[0]
+    texts = spread(docs.select(key, field), key)
+    hits = cut(texts.select(key, tf.alias("tf")).filter(F.exists("tf", lambda n: n > 0)), "hits")
     total = docs.count()
-    # One row per query term.
-    rarity = found.groupBy("term").agg(F.log(F.lit(float(total)) / F.count(F.lit(1))).alias("idf"))
-    scored = found.join(F.broadcast(rarity), "term").groupBy(key).agg(
-        F.round(F.sum(F.col("tf") * F.col("idf")), 4).alias("score"), F.count(F.lit(1)).alias("terms")
-    )
+    with_term = hits.agg(*[F.count_if(F.col("tf")[i] > 0).alias(t) for i, t in enumerate(terms)]).first()
+    idf = [math.log(total / n) if n else 0.0 for n in with_term]
+    score = sum((F.col("tf")[i] * F.lit(weight) for i, weight in enumerate(idf)), F.lit(0.0))
+    scored = hits.select(key, F.round(score, 4).alias("score"), F.size(F.filter("tf", lambda n: n > 0)).cast("bigint").alias("terms"))
     return scored.filter(F.col("terms") == len(terms)) if conjunction == "AND" else scored
 
 
 def completions(docs: DataFrame, field: str, prefix: str, limit: int = 10) -> DataFrame:
     """Words that begin with the prefix, with the number of documents that hold them."""
-    starts = F.filter(F.array_distinct(words(field)), lambda w: w.startswith(prefix.lower()))
+    starts = F.array_distinct(F.filter(words(field), lambda w: w.startswith(prefix.lower())))
     return exploded(docs, starts).groupBy("term").agg(F.count(F.lit(1)).alias("results")).orderBy(F.desc("results"), "term").limit(limit)
 
 
@@ -84,7 +87,7 @@ def more_like_this(docs: DataFrame, key: str, field: str, item, limit: int = 10)
     """
     seed = exploded(docs.filter(F.col(key) == item), words(field)).groupBy("term").agg(F.count(F.lit(1)).alias("seed_tf"))
     # The length is taken below the explode: beside it, it would be worked out per word.
-    sized = docs.withColumn("length", F.size(words(field)))
+    sized = spread(docs.select(key, field), key).withColumn("length", F.size(words(field)))
     tf = exploded(sized, words(field), key, "length").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     shared = cut(lookup_join(tf, seed, ["term"]))
     total = docs.count()

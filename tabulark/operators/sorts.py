@@ -71,6 +71,16 @@ def key_value_sorts(sorts: Sequence[tuple[str, str]]) -> list[Column]:
     return [direction(field, way) for field, way in reversed(sorts)]
 
 
+def by_relevance(df: DataFrame, way: str = "desc") -> list[Column]:
+    """Sort on the score, where a search supplied one; else no sort."""
+    return [direction("score", way)] if "score" in df.columns else []
+
+
+def exposed_sorts(earlier: Sequence[Column], field: str, way: str, exposed: bool) -> list[Column]:
+    """A sort the visitor chose takes the place of the earlier ones; a configured one follows them."""
+    return [direction(field, way)] if exposed else [*earlier, direction(field, way)]
+
+
 def capped(limit: int | None, default: int, maximum: int) -> int:
     return min(default if limit is None else max(limit, 0), maximum)
 

@@ -21,8 +21,8 @@ MAX_LIMIT = 20_000
 Rule = Callable[[DataFrame], DataFrame]
 
 
-def run(tables: Mapping[str, DataFrame], query: Mapping, maximum: int = MAX_LIMIT) -> DataFrame:
-    """Build the DataFrame of one query. Rows are capped unless ``all_rows`` is set."""
+def matching(tables: Mapping[str, DataFrame], query: Mapping) -> DataFrame:
+    """All rows of a query, unordered."""
     df = tables[query["resource"]]
     for join in joins_of(query):
         df = df.join(tables[join["resource"]], F.expr(join["on"]), join.get("how", "inner"))
@@ -35,6 +35,17 @@ def run(tables: Mapping[str, DataFrame], query: Mapping, maximum: int = MAX_LIMI
             df = df.filter(from_tree(query["having"]))
     elif "fields" in query:
         df = df.select(*[F.expr(text).alias(name) for name, text in query["fields"].items()])
+    return df
+
+
+def count(tables: Mapping[str, DataFrame], query: Mapping) -> DataFrame:
+    """The number of rows behind all pages of a query."""
+    return matching(tables, query).agg(F.count(F.lit(1)).alias("count"))
+
+
+def run(tables: Mapping[str, DataFrame], query: Mapping, maximum: int = MAX_LIMIT) -> DataFrame:
+    """The rows of one query, capped unless ``all_rows`` is set."""
+    df = matching(tables, query)
     if query.get("sorts"):
         df = df.orderBy(*[direction(field, way) for field, way in query["sorts"]])
     if query.get("all_rows"):

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulark.scratch import cut
 
@@ -157,8 +158,9 @@ def salted_join(
     if not hot:
         return rows.join(lookup, list(keys), how)
     is_hot = F.xxhash64(*[F.col(k) for k in keys]).isin(hot)
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
-    salted = rows.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    hashable = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
+    salted = rows.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     copies = lookup.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
@@ -174,3 +176,12 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     if lookup.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(lookup), list(keys), how)
     return salted_join(rows, lookup, keys, how)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hand a scan of few splits to all cores, for work that is all computing (cutting texts).
+
+    Few splits mean little data, so the shuffle is cheap; a scan with splits for every core stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df

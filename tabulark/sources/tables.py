@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulark.operators.diffs import merged
 from tabulark.scale import salted_join
 
 
@@ -61,7 +62,7 @@ def import_status(spark: SparkSession, names: Sequence[str]) -> DataFrame:
         else:
             found = spark.range(1).select(F.lit(False).alias("imported"))
         parts.append(found.select(F.lit(name).alias("table_name"), "imported"))
-    return _union(parts)
+    return merged(parts)
 
 
 def job_listing(jobs: DataFrame, id_column: str, status: DataFrame, resource: str) -> DataFrame:
@@ -85,11 +86,5 @@ def table_summary(df: DataFrame, name: str, indexes: Sequence[str] = ()) -> Data
 
 
 def summaries(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return _union([table_summary(df, name) for name, df in tables.items()])
+    return merged([table_summary(df, name) for name, df in tables.items()])
 
-
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole

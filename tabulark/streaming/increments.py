@@ -106,6 +106,18 @@ def run_resumable(
     return COMPLETED
 
 
+def run_changes(
+    changes: DataFrame, item: str, operation: str, at: tuple[str, ...], target: str, checkpoint: str
+) -> str:
+    """Stream changes into a change table, each batch folded to the last change per item before it is written."""
+    return run_resumable(changes, target, checkpoint, lambda batch: last_changes(batch, item, operation, at))
+
+
+def tracked_changes(spark: SparkSession, target: str, item: str, operation: str, size: int = 50) -> DataFrame:
+    """Waiting items of a streamed change table, in batches by time of change."""
+    return tracked(spark.read.parquet(target), item, operation, ("changed",), size)
+
+
 def imported(rows: DataFrame, key: str, run: str) -> DataFrame:
     """The id map of an import run: which rows it brought."""
     return rows.select(key, F.lit(run).alias("run"))

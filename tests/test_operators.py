@@ -119,7 +119,7 @@ def test_search_needs_a_keyword(spark):
         search.search(docs, "id", "text", [" "])
     assert sorted(r.id for r in search.search(docs, "id", "text", ["CATS"]).collect()) == [1, 2]
     assert names(search.completions(docs, "text", "cat"), "term") == ["cats", "category"]
-    assert names(docs.filter(search.phrase("text", "Big CATS")), "id") == [1]
+    assert names(docs.filter(p.phrase("text", "Big CATS")), "id") == [1]
 
 
 def test_orphans(spark):
@@ -168,3 +168,28 @@ def test_null_literal(spark, tmp_path):
     (tmp_path / "n.csv").write_text('a,b,c\nNULL,"NULL",x\n"p, NULL,q",NULL,NULL\n"NULL ""NULL"" y",NULLABLE,1\n')
     rows = [tuple(r) for r in delimited.import_delimited(spark, str(tmp_path / "n.csv"), null_literal=True).collect()]
     assert rows == [(None, "NULL", "x"), ("p, NULL,q", None, None), ('NULL "NULL" y', "NULLABLE", "1")]
+
+
+def test_spec_counts_all_pages_and_alters_by_tag(people):
+    query = {"resource": "t", "conditions": {"field": "age", "value": 26, "op": ">="}, "limit": 1}
+    assert spec.count({"t": people}, query).first()["count"] == 3
+    rules = {"range": lambda df: df.orderBy("id").limit(2), "drop": lambda df: df.drop("age"), "other": lambda df: df.limit(0)}
+    assert spec.altered(people, ["range", "drop", "unknown"], rules).columns == ["id", "name", "job"]
+
+
+def test_relevance_sort_needs_a_score(people):
+    from tabulark.operators import sorts
+
+    assert sorts.by_relevance(people) == []
+    assert len(sorts.by_relevance(people.withColumn("score", F.lit(1)))) == 1
+    with pytest.raises(ValueError):
+        sorts.by_header(people, "nobody", "asc")
+    assert names(sorts.page(people, [sorts.by_header(people, "age;", "DESC")], 2)) == ["Ringo", "George"]
+
+
+def test_salting_allows_map_columns(spark):
+    from tabulark import scale
+
+    df = spark.range(100).select(F.lit(1).alias("k"), F.create_map(F.lit("a"), F.col("id")).alias("m"), "id")
+    lookup = spark.range(3).select(F.col("id").cast("int").alias("k"))
+    assert scale.salted_join(df, lookup, ["k"], min_rows=1).count() == 100

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulark import scale
 from tabulark.operators import aggregates as a, facets as f, joins as j
+from tabulark.scratch import cut
 from workload import registered, table
 
 
@@ -362,7 +363,7 @@ COUNTERS = (
 def view_counters(spark, sf_dir):
     views = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("item"), "ts")
     today = F.col("ts") >= F.lit("2024-01-30").cast("timestamp_ntz")
-    counters = a.view_counters(views, "item", "ts", today)
+    counters = cut(a.view_counters(views, "item", "ts", today), "counters")
     highest = counters.agg(F.max("totalcount")).first()[0]
     parts = [a.top_items(counters, "item", order) for order in ("totalcount", "daycount", "timestamp")]
     tops = parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -31,15 +31,31 @@ CHANGES = (
 )
 
 
-@registered(
+TRACKED = (
     f"WITH last AS (SELECT item, arg_max(operation, (ts, event_id)) AS operation, max((ts, event_id)) AS changed FROM {CHANGES} GROUP BY item) "
     "SELECT item, operation, cast((row_number() OVER (ORDER BY changed) - 1) // 50 AS bigint) AS batch FROM last"
 )
-def change_tracking(spark, sf_dir):
+
+
+def change_events(events):
     operation = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("update")
     item = F.concat_ws("-", "user_id", F.get_json_object("props", "$.k"))
-    changes = table(spark, sf_dir, "events").select(item.alias("item"), operation.alias("operation"), "ts", "event_id")
-    return inc.tracked(changes, "item", "operation", ("ts", "event_id"))
+    return events.select(item.alias("item"), operation.alias("operation"), "ts", "event_id")
+
+
+@registered(TRACKED)
+def change_tracking(spark, sf_dir):
+    return inc.tracked(change_events(table(spark, sf_dir, "events")), "item", "operation", ("ts", "event_id"))
+
+
+@registered(TRACKED)
+def change_tracking_stream(spark, sf_dir):
+    work = table_path(spark, "changes")
+    events = table(spark, sf_dir, "events")
+    events.repartition(3, "event_id").write.parquet(work + "/events")
+    stream = inc.file_stream(spark, events.schema, files_per_batch=1).parquet(work + "/events")
+    inc.run_changes(change_events(stream), "item", "operation", ("ts", "event_id"), work + "/changes", work + "/checkpoint")
+    return inc.tracked_changes(spark, work + "/changes", "item", "operation")
 
 
 DAILY = "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS daycount FROM events GROUP BY ALL"

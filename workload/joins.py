@@ -68,20 +68,25 @@ def join_with_extra_predicate(spark, sf_dir):
 
 
 EVENT_REF = (
-    "(SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 'none' ELSE json_extract_string(props, '$.k') END AS ref FROM events)"
+    "(SELECT event_id, event_type, CASE event_type WHEN 'error' THEN 'none' WHEN 'click' THEN '0' || json_extract_string(props, '$.k') "
+    "ELSE json_extract_string(props, '$.k') END AS ref FROM events)"
 )
 
 
 @registered(
-    f"SELECT event_id, ref, c_custkey, c_name FROM {EVENT_REF} JOIN customer ON try_cast(ref AS bigint) = c_custkey "
-    "WHERE event_type <> 'view'"
+    f"SELECT event_id, ref, c_custkey, c_name, 'number' AS cast_to FROM {EVENT_REF} JOIN customer ON try_cast(ref AS bigint) = c_custkey "
+    f"WHERE event_type <> 'view' UNION ALL SELECT event_id, ref, c_custkey, c_name, 'text' FROM {EVENT_REF} "
+    "JOIN customer ON ref = cast(c_custkey AS varchar)"
 )
 def cast_key_join(spark, sf_dir):
-    ref = F.when(F.col("event_type") == "error", "none").otherwise(F.get_json_object("props", "$.k"))
+    k = F.get_json_object("props", "$.k")
+    ref = F.when(F.col("event_type") == "error", "none").when(F.col("event_type") == "click", F.concat(F.lit("0"), k)).otherwise(k)
     events = table(spark, sf_dir, "events").select("event_id", "event_type", ref.alias("ref"))
     lookup = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    joined = j.on_text_key(events, "ref", lookup, "c_custkey", extra=F.col("event_type") != "view")
-    return joined.drop("event_type")
+    numbers = j.on_text_key(events, "ref", lookup, "c_custkey", extra=F.col("event_type") != "view")
+    texts = j.on_text_key(events, "ref", lookup, "c_custkey", as_text=True)
+    both = numbers.withColumn("cast_to", F.lit("number")).unionByName(texts.withColumn("cast_to", F.lit("text")))
+    return both.drop("event_type")
 
 
 LATEST = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabulark import scale
 from tabulark.functions import dates, hashes, lists, text, values
 from tabulark.operators import search
+from tabulark.operators.predicates import phrase
 from workload import registered, table
 
 SECONDS = "cast(epoch(date_trunc('second', ts)) AS bigint)"
@@ -556,5 +557,5 @@ def search_key_parsing(spark, sf_dir):
     key = search.terms_of("with the", "direct")[0]
     whole = search.terms_of("With the", "phrase")[0]
     return table(spark, sf_dir, "documents").select(
-        "doc_id", search.phrase("text", whole).alias("as_phrase"), F.col("text").contains(key).alias("as_given")
+        "doc_id", phrase("text", whole).alias("as_phrase"), F.col("text").contains(key).alias("as_given")
     )

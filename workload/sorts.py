@@ -123,13 +123,15 @@ def search_sql(terms: list[str]) -> str:
 @registered(f"SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS position FROM {search_sql(['for', 'with'])}")
 def sort_on_relevance(spark, sf_dir):
     found = search.search(table(spark, sf_dir, "documents"), "doc_id", "text", ["with", "for"])
-    return numbered(found.drop("terms"), F.desc("score"), F.asc("doc_id"))
+    return numbered(found.drop("terms"), *s.by_relevance(found), F.asc("doc_id"))
 
 
 @registered("SELECT doc_id, n_chars, row_number() OVER (ORDER BY source DESC, n_chars DESC, doc_id) AS position FROM documents")
 def search_sort(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
-    return numbered(docs, F.desc("source"), F.desc("n_chars"), F.asc("doc_id")).drop("source")
+    chosen = s.exposed_sorts([F.asc("n_chars")], "source", "desc", exposed=True)
+    chosen = s.exposed_sorts(chosen, "n_chars", "desc", exposed=False)
+    return numbered(docs, *chosen, F.asc("doc_id")).drop("source")
 
 
 @registered(
