@@ -193,7 +193,7 @@ def tree(facets: DataFrame, levels: int) -> DataFrame:
         here = facets.filter(F.col("level") == level).withColumn("_text", node(None))
         if below is not None:
             folded = below.groupBy(F.col("parent").alias("value")).agg(
-                F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("value", "_text"))), lambda c: c["_text"]), ",").alias("_children")
+                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("value", "_text"))), lambda c: c["_text"]), ",").alias("_children")
             )
             here = here.join(folded, "value", "left").withColumn("_text", node(F.col("_children")))
         below = here.select("value", "parent", "_text")
@@ -203,6 +203,6 @@ def tree(facets: DataFrame, levels: int) -> DataFrame:
 def summary(facets: DataFrame, total: int) -> DataFrame:
     """Total results and, per facet with a selection, the labels selected (as many as the request names)."""
     chosen = facets.filter("active").groupBy("facet").agg(
-        F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("selected")
+        F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("selected")
     )
     return chosen.withColumn("total", F.lit(total).cast("bigint"))

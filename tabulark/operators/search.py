@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.operators.predicates import words
+from tabulark.operators.diffs import merged
+from tabulark.operators.predicates import group, words
 from tabulark.scale import lookup_join, spread
 from tabulark.scratch import cut
 
@@ -28,13 +29,14 @@ def index(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
     Text fields are cut into words; string fields are one lower-case term.
     """
 
-    def entries(name: str, kind: str) -> Column:
-        terms = words(name) if kind == "text" else F.array_compact(F.array(F.lower(name)))
-        return F.transform(terms, lambda term: F.struct(F.lit(name).alias("field"), term.alias("term")))
+    def entries(name: str, kind: str) -> DataFrame:
+        if kind == "text":
+            terms = exploded(spread(docs.select(key, name), key), words(name), key)
+        else:
+            terms = docs.select(key, F.lower(name).alias("term")).filter(F.col("term").isNotNull())
+        return terms.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf")).withColumn("field", F.lit(name))
 
-    docs = spread(docs.select(key, *fields), key)
-    every = F.concat(*[entries(*pair) for pair in fields.items()])
-    return exploded(docs, every, key, name="entry").groupBy("entry.field", "entry.term", key).agg(F.count(F.lit(1)).alias("tf"))
+    return merged([entries(name, kind) for name, kind in fields.items()]).select("field", "term", key, "tf")
 
 
 def terms_of(keys: str | Sequence[str], mode: str = "terms") -> list[str]:
@@ -64,8 +66,11 @@ def search(docs: DataFrame, key: str, field: str, keys: Sequence[str], conjuncti
 
     # A one-element array binds the words, so they are cut once for all keywords.
     tf = F.transform(F.array(words(field)), counts)[0]
-    texts = spread(docs.select(key, field), key)
-    hits = cut(texts.select(key, tf.alias("tf")).filter(F.exists("tf", lambda n: n > 0)), "hits")
+    # A text without the letters of the keywords need not be cut into words.
+    lowered = F.lower(field)
+    likely = docs.filter(group("OR", [lowered.contains(t) for t in terms]))
+    texts = spread(likely.select(key, field), key)
+    hits = cut(texts.select(key, tf.alias("tf")), "hits").filter(F.exists("tf", lambda n: n > 0))
     total = docs.count()
     with_term = hits.agg(*[F.count_if(F.col("tf")[i] > 0).alias(t) for i, t in enumerate(terms)]).first()
     idf = [math.log(total / n) if n else 0.0 for n in with_term]
@@ -77,7 +82,8 @@ def search(docs: DataFrame, key: str, field: str, keys: Sequence[str], conjuncti
 def completions(docs: DataFrame, field: str, prefix: str, limit: int = 10) -> DataFrame:
     """Words that begin with the prefix, with the number of documents that hold them."""
     starts = F.array_distinct(F.filter(words(field), lambda w: w.startswith(prefix.lower())))
-    return exploded(docs, starts).groupBy("term").agg(F.count(F.lit(1)).alias("results")).orderBy(F.desc("results"), "term").limit(limit)
+    likely = docs.filter(F.lower(field).contains(prefix.lower()))
+    return exploded(likely, starts).groupBy("term").agg(F.count(F.lit(1)).alias("results")).orderBy(F.desc("results"), "term").limit(limit)
 
 
 def more_like_this(docs: DataFrame, key: str, field: str, item, limit: int = 10) -> DataFrame:
@@ -87,9 +93,9 @@ def more_like_this(docs: DataFrame, key: str, field: str, item, limit: int = 10)
     """
     seed = exploded(docs.filter(F.col(key) == item), words(field)).groupBy("term").agg(F.count(F.lit(1)).alias("seed_tf"))
     # The length is taken below the explode: beside it, it would be worked out per word.
-    sized = spread(docs.select(key, field), key).withColumn("length", F.size(words(field)))
-    tf = exploded(sized, words(field), key, "length").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    shared = cut(lookup_join(tf, seed, ["term"]))
+    sized = spread(docs.select(key, field), key).withColumn("length", F.length(field))
+    hits = lookup_join(exploded(sized, words(field), key, "length"), seed, ["term"])
+    shared = cut(hits.groupBy(key, "length", "term", "seed_tf").agg(F.count(F.lit(1)).alias("tf")), "shared")
     total = docs.count()
     rarity = shared.groupBy("term").agg(F.log(F.lit(float(total)) / F.count(F.lit(1))).alias("idf"))
     weighted = lookup_join(shared, rarity, ["term"])

@@ -123,7 +123,7 @@ def folded(
     chunk = F.floor((F.col("_place") - 1) / F.lit(size)).cast("int").alias("chunk")
     return (
         placed.groupBy(*keys, chunk)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("_place"), item.alias("_item")))).alias("_items"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("_place"), item.alias("_item")))).alias("_items"))
         .withColumn(name, F.transform("_items", lambda entry: entry["_item"]))
         .drop("_items")
     )

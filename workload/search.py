@@ -38,7 +38,7 @@ def keyword_completion(spark, sf_dir):
 
 @registered(
     f"WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM {WORDS} GROUP BY ALL), "
-    f"len AS (SELECT doc_id, count(*) AS length FROM {WORDS} GROUP BY doc_id), "
+    "len AS (SELECT doc_id, length(text) AS length FROM documents), "
     "seed AS (SELECT term, tf AS seed_tf FROM tf WHERE doc_id = 1), "
     "idf AS (SELECT term, ln((SELECT count(*) FROM documents)::double / count(*)) AS idf FROM tf SEMI JOIN seed USING (term) GROUP BY term) "
     "SELECT doc_id, round(sum(tf * seed_tf * idf * idf) / sqrt(length), 4) AS score FROM tf JOIN seed USING (term) "
