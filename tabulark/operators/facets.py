@@ -67,6 +67,7 @@ def slider(values: DataFrame, step: int, low: int | None = None, high: int | Non
     Without fixed bounds they come from the values, high rounded up to a multiple of the step.
     ``values`` has (value, count). Values off the grid do not show.
     """
+    values = cut(values, "values")
     if low is None or high is None:
         bounds = values.agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
         low, high = bounds["low"] or 0, bounds["high"] or 0

@@ -1,7 +1,7 @@
 """Join shapes of catalog queries.
 
-Row-preserving joins from a fact to its lookup go through ``salted_join`` because
-one key may hold much of the fact side. Everything that only needs a count, a maximum
+Row-preserving joins from a fact to its lookup go through ``lookup_join`` (or ``salted_join``
+where the lookup is itself an aggregate) because one key may hold much of the fact side. Everything that only needs a count, a maximum
 or one representative is aggregated first, so the join is one row per key.
 """
 
@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.scale import folded, salted_join
+from tabulark.scale import folded, lookup_join, salted_join
 from tabulark.scratch import cut
 
 
 def inner(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return salted_join(rows, lookup, keys)
+    return lookup_join(rows, lookup, keys)
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
@@ -25,7 +25,7 @@ def with_children(parents: DataFrame, children: DataFrame, key: str) -> DataFram
 
     Written from the children's side, where hot keys can be salted.
     """
-    matched = salted_join(children, parents, [key])
+    matched = lookup_join(children, parents, [key])
     lonely = parents.join(children.select(key).distinct(), key, "left_anti")
     return matched.unionByName(lonely, allowMissingColumns=True)
 
@@ -43,7 +43,7 @@ def on_text_key(
     else:
         typed = rows.withColumn("_id", F.col(text_key).try_cast("bigint")).filter(F.col("_id").isNotNull())
         keyed = lookup.withColumn("_id", F.col(number_key).cast("bigint"))
-    joined = salted_join(typed, keyed, ["_id"]).drop("_id")
+    joined = lookup_join(typed, keyed, ["_id"]).drop("_id")
     return joined if extra is None else joined.filter(extra)
 
 
@@ -194,5 +194,5 @@ def map_rows(rows: DataFrame, keep: Sequence[str], field: str) -> DataFrame:
 
 def labelled(rows: DataFrame, key: str, labels: DataFrame, label: str, required: bool = False) -> DataFrame:
     """Labels for ids; a missing label shows the id, or drops the row if a label is required."""
-    joined = salted_join(rows, labels.select(key, label), [key], "inner" if required else "left")
+    joined = lookup_join(rows, labels.select(key, label), [key], "inner" if required else "left")
     return joined.withColumn(label, F.coalesce(label, F.col(key).cast("string")))

@@ -166,14 +166,23 @@ def salted_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def small_or_plain(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Hint a broadcast only when the rows are counted and few; else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def is_small(df: DataFrame, max_rows: int = 10_000, max_bytes: int = 8 << 20) -> bool:
+    """Whether the rows are few and, written out, short; looks at no more than ``max_rows`` of them."""
+    written = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(written).alias("bytes")).first()
+    return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = 10_000) -> DataFrame:
-    """Join to a lookup that is usually small: broadcast if counted so, else salted."""
-    if lookup.limit(max_rows + 1).count() <= max_rows:
+def small_or_plain(df: DataFrame) -> DataFrame:
+    """Hint a broadcast only when the data is measured and small; else leave the choice to Spark."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = 10_000
+) -> DataFrame:
+    """Join to a lookup that is cheap to read: broadcast if measured small, else with hot keys salted."""
+    if is_small(lookup, max_rows):
         return rows.join(F.broadcast(lookup), list(keys), how)
     return salted_join(rows, lookup, keys, how)
 

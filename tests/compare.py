@@ -6,7 +6,6 @@ Usage: python tests/compare.py [name-or-module ...]
 from __future__ import annotations
 
 import datetime
-import decimal
 import math
 import os
 import sys

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabulark import scale
 from tabulark.operators import joins as j
 from tabulark.plans import spec
+from tabulark.scratch import cut
 from workload import registered, table
 
 
@@ -295,12 +296,13 @@ def hierarchy_depth_match(spark, sf_dir):
     tag = F.concat_ws("-", F.concat(F.lit("n"), "c_nationkey"), "c_mktsegment")
     tagged = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", tag.alias("term"))
     segments = tagged.select("term", F.concat(F.lit("n"), "c_nationkey").alias("parent")).distinct()
-    hierarchy = regions.unionByName(nations).unionByName(segments)
+    # Every level of the walk reads it: make the terms from the customers once.
+    hierarchy = cut(regions.unionByName(nations).unionByName(segments), "hierarchy")
     parts = []
     for way, root, depth in (("down", "r2", 50), ("down 1", "r2", 1), ("up", "n7-BUILDING", -10)):
         roots = hierarchy.filter(F.col("term") == root)
         terms = j.terms_to_depth(hierarchy, roots, depth)
-        parts.append(scale.salted_join(tagged, terms, ["term"], "left_semi").select("c_custkey", F.lit(way).alias("way")))
+        parts.append(scale.lookup_join(tagged, terms, ["term"], "left_semi").select("c_custkey", F.lit(way).alias("way")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulark import scale
 from tabulark.functions import dates, hashes, lists, text, values
 from tabulark.operators import search
 from tabulark.operators.predicates import phrase
+from tabulark.plans import dictionary, process
 from workload import registered, table
 
 SECONDS = "cast(epoch(date_trunc('second', ts)) AS bigint)"
@@ -248,8 +248,6 @@ def null_coalesce(spark, sf_dir):
     "SELECT event_id, 'skipped', 'value is not set' FROM events WHERE event_type = 'error'"
 )
 def skip_row_when_unset(spark, sf_dir):
-    from tabulark.plans import process
-
     value = F.when(F.col("event_type") != "error", F.col("value"))
     rows = table(spark, sf_dir, "events").select("event_id", value.alias("value"))
     kept, skipped = process.skip_unset(rows, "value")
@@ -335,8 +333,6 @@ def token_substitution(spark, sf_dir):
     "SELECT event_id, unnest(['administer nodes', 'access content overview']) FROM events WHERE event_type = 'signup'"
 )
 def one_value_to_many(spark, sf_dir):
-    from tabulark.plans import process
-
     held = F.when(F.col("event_type") == "signup", "administer nodes").otherwise(F.col("event_type"))
     events = table(spark, sf_dir, "events").select("event_id", held.alias("permission"))
     return process.expand(events, "permission", {"administer nodes": ["administer nodes", "access content overview"]})
@@ -493,8 +489,6 @@ def type_coercions(spark, sf_dir):
     "o_orderstatus = 'P' AS rejected FROM orders"
 )
 def dictionary_type_cast(spark, sf_dir):
-    from tabulark.plans import dictionary
-
     raw = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("o_orderkey"),
         F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("o_totalprice"),
