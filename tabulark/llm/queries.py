@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.llm import packing, simhash_dedup, substring_dedup, toxicity
+from tabulark.llm import line_dedup, packing, simhash_dedup, substring_dedup, toxicity
 from tabulark.llm.common import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,13 @@ def vocabulary() -> dict[str, str]:
     return {"ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+@registered
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.without_repeated_lines(docs, distance=3, similarity=0.8, name="lines")
+    return kept.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2("lines.kept", 256).alias("kept_sha256"))
+
+
 @registered
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), **vocabulary(), capacity=1024, end_id=0)
