@@ -63,3 +63,11 @@ def with_decisions(docs: DataFrame, decisions: DataFrame, how: str = "left") ->
 
 def text_key_of(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until neither they nor what begins with them is a column of ``docs``."""
+    tail = "_"
+    while any(column.startswith(f"{name}{tail}") for column in docs.columns for name in names):
+        tail += "_"
+    return [f"{name}{tail}" for name in names]
