@@ -58,7 +58,9 @@ ZONES_BY_OFFSET = {
     18000: "Asia/Karachi",
     19800: "Asia/Kolkata",
     20700: "Asia/Katmandu",
+    21600: "Asia/Novosibirsk",
     25200: "Asia/Krasnoyarsk",
+    28800: "Asia/Shanghai",
     32400: "Asia/Tokyo",
     36000: "Australia/Melbourne",
     43200: "Pacific/Auckland",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,16 @@ def url_safe_hash(text: str | Column) -> Column:
     return F.translate(F.base64(F.unhex(F.sha2(text, 256))), "+/=", "-_")
 
 
+def url_safe_hmac(text: str | Column, key: str) -> Column:
+    """Base64 HMAC-SHA-256 under a literal key, with URL-safe characters and no padding."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ pad for b in secret).hex())) for pad in (0x36, 0x5C))
+    data = (F.col(text) if isinstance(text, str) else text).cast("binary")
+    digest = F.unhex(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, data), 256))), 256))
+    return F.translate(F.base64(digest), "+/=", "-_")
+
+
 def uuid5(schema: str, value: str | Column) -> Column:
     """The version 5 UUID of ``schema:value`` in the DNS namespace."""
     value = F.col(value) if isinstance(value, str) else value

@@ -24,7 +24,7 @@ def encode_tag(tag: str | Column) -> Column:
 
 def explode_tags(text: str | Column) -> Column:
     """Tags of a comma list: quotes removed, doubled quotes single, repeats and empties dropped."""
-    found = F.regexp_extract_all(_column(text), F.lit(r'(?:^|, *)("(?:[^"]|"")*"|[^",]*)'), 1)
+    found = F.regexp_extract_all(_column(text), F.lit(r'(?:^|, *)("[^"]*+(?:""[^"]*+)*+"|[^",]*+)'), 1)
 
     def unquoted(tag: Column) -> Column:
         inner = F.regexp_replace(tag, r'(?s)^"(.*)"$', "$1")
@@ -49,7 +49,7 @@ def split_list(text: str | Column) -> Column:
 
 def quoted_list(text: str | Column) -> Column:
     """Cells of one CSV record, trimmed; commas inside quotes do not split."""
-    cells = F.regexp_extract_all(_column(text), F.lit(r'(?:^|,)\s*("(?:[^"]|"")*"|[^,]*)'), 1)
+    cells = F.regexp_extract_all(_column(text), F.lit(r'(?:^|,)\s*("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'), 1)
 
     def clean(cell: Column) -> Column:
         bare = F.regexp_replace(F.trim(cell), r'(?s)^"(.*)"$', "$1")

@@ -33,10 +33,15 @@ def leaves(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:
     return found
 
 
+def _as_text(path: str, kind: str) -> Column:
+    """Lists and maps as JSON, so that their items stay apart; plain values as text."""
+    return F.to_json(F.col(path)) if kind.startswith(("array", "map")) else F.col(path).cast("string")
+
+
 def flattened(df: DataFrame, key: str) -> DataFrame:
     """(key, path, type, value) rows of nested records; the type keeps the comparison strict."""
     entries = [
-        F.struct(F.lit(path).alias("path"), F.lit(kind).alias("type"), F.col(path).cast("string").alias("value"))
+        F.struct(F.lit(path).alias("path"), F.lit(kind).alias("type"), _as_text(path, kind).alias("value"))
         for path, kind in leaves(df.schema)
         if path != key
     ]

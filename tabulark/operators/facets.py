@@ -7,6 +7,8 @@ reads them more than once writes them first: the items are counted once.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,21 +63,24 @@ def without_empty(facets: DataFrame, operator: str = "and") -> DataFrame:
     return kept if operator == "or" else kept.filter(F.col("count") > 0)
 
 
-def slider(values: DataFrame, step: int, low: int | None = None, high: int | None = None) -> DataFrame:
+def slider(values: DataFrame, step: float, low: float | None = None, high: float | None = None) -> DataFrame:
     """Counts on the grid low, low+step, ... up to high; grid points without a value have 0.
 
-    Without fixed bounds they come from the values, high rounded up to a multiple of the step.
-    ``values`` has (value, count). Values off the grid do not show.
+    Without fixed bounds they come from the values, high rounded up to a multiple of the step. Bounds and steps may
+    be fractions. ``values`` has (value, count). Values off the grid do not show.
     """
     values = cut(values, "values")
     if low is None or high is None:
         bounds = values.agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
         low, high = bounds["low"] or 0, bounds["high"] or 0
-        rest = int(high) % step
-        high = high + (step - rest) if rest else high
-    grid = values.sparkSession.range(int(low), int(high) + 1, step).select(F.col("id").cast("double").alias("value"))
-    found = values.select(F.col("value").cast("double").alias("value"), "count")
-    return grid.join(found, "value", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+        high = math.ceil(float(high) / step - 1e-9) * step
+    # Grid points are numbered, so that fractions meet in spite of rounding.
+    low, points = float(low), max(0, math.floor((float(high) - float(low)) / step + 1e-9) + 1)
+    grid = values.sparkSession.range(points).select("id", (F.lit(low) + F.col("id") * F.lit(float(step))).alias("value"))
+    off = (F.col("value").cast("double") - F.lit(low)) / F.lit(float(step))
+    found = values.select(F.round(off).cast("bigint").alias("id"), (F.abs(off - F.round(off)) < 1e-6).alias("on"), "count")
+    found = found.filter("on").groupBy("id").agg(F.sum("count").alias("count"))
+    return grid.join(found, "id", "left").select("value", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def hide_only_item(facets: DataFrame) -> DataFrame:
@@ -115,38 +120,44 @@ def deepest_only(facets: DataFrame) -> DataFrame:
 
 
 def siblings(hierarchy: DataFrame, values: DataFrame) -> DataFrame:
-    """Values that share a parent (or the top level) with the given ones, without these."""
-    parents = hierarchy.join(values.select("value"), "value", "left_semi").select("parent").distinct()
-    beside = hierarchy.alias("h").join(parents.alias("p"), F.col("h.parent").eqNullSafe(F.col("p.parent")), "left_semi")
-    return beside.select("value", "parent").join(values.select("value"), "value", "left_anti")
+    """Values of the same facet that share a parent (or the top level) with the given ones, without these.
+
+    The hierarchy has (facet, value, parent).
+    """
+    given = values.select("facet", "value")
+    parents = hierarchy.join(given, ["facet", "value"], "left_semi").select("facet", "parent").distinct()
+    same = (F.col("h.facet") == F.col("p.facet")) & F.col("h.parent").eqNullSafe(F.col("p.parent"))
+    beside = hierarchy.alias("h").join(parents.alias("p"), same, "left_semi")
+    return beside.select("facet", "value", "parent").join(given, ["facet", "value"], "left_anti")
 
 
 def show_siblings(facets: DataFrame, hierarchy: DataFrame, parents_too: bool = True) -> DataFrame:
     """Append missing siblings with count 0; only those of active values unless ``parents_too``."""
     facets, hierarchy = cut(facets, "facets"), cut(hierarchy, "hierarchy")
     around = facets if parents_too else facets.filter("active")
-    new = siblings(hierarchy, around).join(facets.select("value"), "value", "left_anti")
+    new = siblings(hierarchy, around).join(facets.select("facet", "value"), ["facet", "value"], "left_anti")
     shown = new.withColumn("count", F.lit(0)).withColumn("active", F.lit(False))
     return facets.unionByName(shown, allowMissingColumns=True)
 
 
 def hide_inactive_siblings(facets: DataFrame, hierarchy: DataFrame | None = None, keep_parents_active: bool = False) -> DataFrame:
-    """Once something is selected, drop its inactive siblings and their children.
+    """Once something is selected in a facet, drop its inactive siblings and their children there.
 
-    Parents of the selection count as selected. Without a hierarchy every inactive value goes.
+    Parents of the selection count as selected. Without a hierarchy every inactive value of that facet goes.
     """
     facets = cut(facets, "facets")
-    chosen = facets.filter("active").select("value")
+    chosen = facets.filter("active").select("facet", "value")
     if hierarchy is None:
-        return facets.filter("active") if not chosen.isEmpty() else facets
+        used = chosen.select("facet").distinct().withColumn("_used", F.lit(True))
+        return facets.join(used, "facet", "left").filter(F.col("active") | F.col("_used").isNull()).drop("_used")
     hierarchy = cut(hierarchy, "hierarchy")
     if not keep_parents_active:
-        above = hierarchy.join(chosen, "value", "left_semi").select(F.col("parent").alias("value"))
+        above = hierarchy.join(chosen, ["facet", "value"], "left_semi").select("facet", F.col("parent").alias("value"))
         chosen = chosen.unionByName(above.filter(F.col("value").isNotNull())).distinct()
-    beside = siblings(hierarchy, chosen).select("value")
-    below = hierarchy.join(beside.withColumnRenamed("value", "parent"), "parent", "left_semi").select("value")
+    beside = siblings(hierarchy, chosen).select("facet", "value")
+    below = hierarchy.join(beside.withColumnRenamed("value", "parent"), ["facet", "parent"], "left_semi").select("facet", "value")
     gone = beside.unionByName(below).distinct().withColumn("_gone", F.lit(True))
-    return facets.join(gone, "value", "left").filter(F.col("active") | F.col("_gone").isNull()).drop("_gone")
+    return facets.join(gone, ["facet", "value"], "left").filter(F.col("active") | F.col("_gone").isNull()).drop("_gone")
 
 
 def date_parent(value: str | Column) -> Column:

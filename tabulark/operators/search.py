@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulark.operators.diffs import merged
 from tabulark.operators.predicates import group, words
-from tabulark.scale import lookup_join, spread
+from tabulark.scale import lookup_join
 from tabulark.scratch import cut
 
 
@@ -31,7 +31,7 @@ def index(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
 
     def entries(name: str, kind: str) -> DataFrame:
         if kind == "text":
-            terms = exploded(spread(docs.select(key, name), key), words(name), key)
+            terms = exploded(docs.select(key, name), words(name), key)
         else:
             terms = docs.select(key, F.lower(name).alias("term")).filter(F.col("term").isNotNull())
         return terms.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf")).withColumn("field", F.lit(name))
@@ -69,7 +69,7 @@ def search(docs: DataFrame, key: str, field: str, keys: Sequence[str], conjuncti
     # A text without the letters of the keywords need not be cut into words.
     lowered = F.lower(field)
     likely = docs.filter(group("OR", [lowered.contains(t) for t in terms]))
-    texts = spread(likely.select(key, field), key)
+    texts = likely.select(key, field)
     hits = cut(texts.select(key, tf.alias("tf")), "hits").filter(F.exists("tf", lambda n: n > 0))
     total = docs.count()
     with_term = hits.agg(*[F.count_if(F.col("tf")[i] > 0).alias(t) for i, t in enumerate(terms)]).first()
@@ -93,7 +93,7 @@ def more_like_this(docs: DataFrame, key: str, field: str, item, limit: int = 10)
     """
     seed = exploded(docs.filter(F.col(key) == item), words(field)).groupBy("term").agg(F.count(F.lit(1)).alias("seed_tf"))
     # The length is taken below the explode: beside it, it would be worked out per word.
-    sized = spread(docs.select(key, field), key).withColumn("length", F.length(field))
+    sized = docs.select(key, field).withColumn("length", F.length(field))
     hits = lookup_join(exploded(sized, words(field), key, "length"), seed, ["term"])
     shared = cut(hits.groupBy(key, "length", "term", "seed_tf").agg(F.count(F.lit(1)).alias("tf")), "shared")
     total = docs.count()

@@ -58,12 +58,15 @@ def shuffled(key: str, seed: int) -> Column:
 
 
 def natural_key(field: str) -> Column:
-    """Text key that compares runs of digits as numbers and letters without case."""
+    """Text key that compares runs of digits as numbers, of any length, and letters without case."""
     chunks = F.regexp_extract_all(F.lower(field), F.lit(r"\d+|\D+"), 0)
-    padded = F.transform(
-        chunks, lambda c: F.when(c.rlike(r"^\d"), F.lpad(F.regexp_replace(c, r"^0+(?=\d)", ""), 20, "0")).otherwise(c)
-    )
-    return F.array_join(padded, "")
+
+    def comparable(chunk: Column) -> Column:
+        # A longer number is a larger one, so its length comes first.
+        digits = F.regexp_replace(chunk, r"^0++(?=\d)", "")
+        return F.when(chunk.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(chunk)
+
+    return F.array_join(F.transform(chunks, comparable), "")
 
 
 def key_value_sorts(sorts: Sequence[tuple[str, str]]) -> list[Column]:

@@ -185,12 +185,3 @@ def lookup_join(
     if is_small(lookup, max_rows):
         return rows.join(F.broadcast(lookup), list(keys), how)
     return salted_join(rows, lookup, keys, how)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hand a scan of few splits to all cores, for work that is all computing (cutting texts).
-
-    Few splits mean little data, so the shuffle is cheap; a scan with splits for every core stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulark.scratch import table_path
+from tabulark.scratch import cut, table_path
 
 MAX_HEADING = 64
 HASH_LENGTH = 4
@@ -37,23 +37,48 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce(*filled).isNotNull())
 
 
+def record_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (``value``) of CSV files without line breaks in cells, blank ones too, less each file's heading line.
+
+    The heading is the first line of the block that begins its file.
+    """
+    place = F.col("_metadata.file_block_start").alias("_block")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), place)
+    lines = lines.withColumn("_at", F.monotonically_increasing_id())
+    headings = lines.filter("_block = 0").groupBy("_file").agg(F.min("_at").alias("_at"))
+    return lines.join(headings, ["_file", "_at"], "left_anti").select("value")
+
+
+def records_of_lines(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
+    """Lines as records under the heading of the files; a blank line is a record of empty cells."""
+    names = read_delimited(spark, path).columns
+    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    cells = F.from_csv("value", schema, {"escape": '"'})
+    return lines.select(cells.alias("cells")).select(*[F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def without_null_literals(line: Column) -> Column:
+    """A line with its bare ``NULL`` cells emptied, in one pass: quoted stretches are matched first and stay."""
+    return F.regexp_replace(line, r'("[^"]*+")|(?<=^|,)NULL(?=,|$)', "$1")
+
+
 def read_with_null_literal(spark: SparkSession, path: str) -> DataFrame:
     """Like ``read_delimited``, with an unquoted ``NULL`` cell read as empty.
 
-    The CSV reader cannot tell ``NULL`` from ``"NULL"``, so lines are rewritten
-    first: a bare NULL is one between separators with an even number of quotes after it.
+    The CSV reader cannot tell ``NULL`` from ``"NULL"``, so lines are rewritten first.
     """
-    lines = spark.read.text(path)
-    header = spark.read.csv(path, header=True, sep="\u0001", quote="").columns[0]
-    names = [heading(c.strip('"')) for c in header.split(",")]
-    bare = r'(?<=^|,)NULL(?=,|$)(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    cells = F.from_csv(F.regexp_replace("value", bare, ""), schema, {"escape": '"'})
-    return (
-        lines.filter(F.col("value") != F.lit(header))
-        .select(cells.alias("cells"))
-        .select(*[F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)])
+    lines = record_lines(spark, path).select(without_null_literals(F.col("value")).alias("value"))
+    return records_of_lines(spark, path, lines)
+
+
+def rejected_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The records (``record``) whose number of cells is not the heading's: what the reader cuts or fills up."""
+    names = read_delimited(spark, path, multi_line).columns
+    schema = ", ".join([f"`c{i}` string" for i in range(len(names))] + ["_bad string"])
+    raw = spark.read.schema(schema).csv(
+        path, header=True, multiLine=multi_line, escape='"', columnNameOfCorruptRecord="_bad", enforceSchema=True
     )
+    return cut(raw, "records").filter("_bad is not null").select(F.col("_bad").alias("record"))
 
 
 def import_delimited(
@@ -62,9 +87,21 @@ def import_delimited(
     remove_empty_rows: bool = True,
     null_literal: bool = False,
     target: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Import one CSV resource as a table, replacing an earlier import at ``target``."""
-    rows = read_with_null_literal(spark, path) if null_literal else read_delimited(spark, path)
+    """Import one CSV resource as a table, replacing an earlier import at ``target``.
+
+    Without ``remove_empty_rows`` blank lines are records too. ``multi_line`` reads line breaks inside quotes, as
+    ``read_delimited`` does; the null literal and blank lines are matters of lines and do not go with it.
+    """
+    if multi_line and (null_literal or not remove_empty_rows):
+        raise ValueError("multi_line goes with neither null_literal nor kept blank lines")
+    if null_literal:
+        rows = read_with_null_literal(spark, path)
+    elif remove_empty_rows:
+        rows = read_delimited(spark, path, multi_line)
+    else:
+        rows = records_of_lines(spark, path, record_lines(spark, path))
     if remove_empty_rows:
         rows = drop_blank_rows(rows)
     target = target or table_path(spark, "resource")

@@ -23,8 +23,17 @@ def insert_rows(target: DataFrame, rows: DataFrame, defaults: Mapping[str, objec
     return target.unionByName(rows, allowMissingColumns=True)
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row of each key: the largest in the order of the columns."""
+    return rows.groupBy(*keys).agg(F.max(F.struct(*rows.columns)).alias("_row")).select("_row.*")
+
+
 def upsert(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Insert by a unique key; on conflict every supplied column takes the new value, NULL included."""
+    """Insert by a unique key; on conflict every supplied column takes the new value, NULL included.
+
+    Of several new rows with one key the largest in the order of their columns counts.
+    """
+    rows = one_per_key(rows, [key])
     old, new = target.alias("old"), rows.withColumn("_new", F.lit(True)).alias("new")
     both = old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer")
     columns = [F.coalesce(f"new.{key}", f"old.{key}").alias(key)]
@@ -39,7 +48,8 @@ def upsert(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def merge_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert only the rows whose key is not there yet."""
+    """Insert only the rows whose key is not there yet, and of several with one key the largest in column order."""
+    rows = one_per_key(rows, keys)
     return target.unionByName(rows.join(target.select(*keys), list(keys), "left_anti"))
 
 

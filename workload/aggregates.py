@@ -219,7 +219,7 @@ def hide_active_items(spark, sf_dir):
 def place_hierarchy(spark, sf_dir):
     regions = table(spark, sf_dir, "region").selectExpr("concat('r', r_regionkey) AS value", "cast(null AS string) AS parent")
     nations = table(spark, sf_dir, "nation").selectExpr("concat('n', n_nationkey) AS value", "concat('r', n_regionkey) AS parent")
-    return regions.unionByName(nations)
+    return regions.unionByName(nations).withColumn("facet", F.lit("place"))
 
 
 def place_facets(spark, sf_dir, condition, active):

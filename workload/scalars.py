@@ -383,7 +383,14 @@ OFFSETS = "CASE WHEN c_nationkey = 24 THEN 12345 ELSE (c_nationkey - 11) * 3600
 
 @registered(
     f"SELECT c_custkey, {OFFSETS} AS seconds, CASE {OFFSETS} "
-    + " ".join(f"WHEN {s} THEN '{z}'" for s, z in dates.ZONES_BY_OFFSET.items())
+    "WHEN -39600 THEN 'Pacific/Apia' WHEN -36000 THEN 'Pacific/Honolulu' WHEN -32400 THEN 'America/Anchorage' "
+    "WHEN -28800 THEN 'America/Los_Angeles' WHEN -25200 THEN 'America/Denver' WHEN -21600 THEN 'America/Chicago' "
+    "WHEN -18000 THEN 'America/New_York' WHEN -14400 THEN 'America/Halifax' WHEN -10800 THEN 'America/Sao_Paulo' "
+    "WHEN -3600 THEN 'Atlantic/Azores' WHEN 0 THEN 'Europe/London' WHEN 3600 THEN 'Europe/Paris' "
+    "WHEN 7200 THEN 'Europe/Helsinki' WHEN 10800 THEN 'Europe/Moscow' WHEN 14400 THEN 'Asia/Dubai' "
+    "WHEN 18000 THEN 'Asia/Karachi' WHEN 19800 THEN 'Asia/Kolkata' WHEN 20700 THEN 'Asia/Katmandu' "
+    "WHEN 21600 THEN 'Asia/Novosibirsk' WHEN 25200 THEN 'Asia/Krasnoyarsk' WHEN 28800 THEN 'Asia/Shanghai' "
+    "WHEN 32400 THEN 'Asia/Tokyo' WHEN 36000 THEN 'Australia/Melbourne' WHEN 43200 THEN 'Pacific/Auckland'"
     + " ELSE 'UTC' END AS zone FROM customer"
 )
 def timezone_from_offset(spark, sf_dir):
