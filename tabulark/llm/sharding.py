@@ -53,7 +53,7 @@ def first_map(sizes: list[tuple[int, int, int]], shards: int) -> dict[int, int]:
 
 
 def rebalanced(owner: dict[int, int], sizes: list[tuple[int, int, int]], shards: int, tolerance: float = 0.01) -> dict[int, int]:
-    """An edited map: slots move from the fullest shard to the emptiest while that narrows a gap above the tolerance.
+    """An edited map: slots move from the fullest shard that has a fitting one to the emptiest, until the gap is in the tolerance.
 
     With more shards than before, the new ones start empty; slots of shards that are gone move first.
     """
@@ -73,10 +73,13 @@ def rebalanced(owner: dict[int, int], sizes: list[tuple[int, int, int]], shards:
         give(slot, min(load, key=lambda s: (load[s], s)))
     mean = sum(load.values()) / shards
     while True:
-        full, empty = max(load, key=lambda s: (load[s], -s)), min(load, key=lambda s: (load[s], s))
-        gap = load[full] - load[empty]
-        fitting = [s for s in owned[full] if 0 < bytes_of[s] < gap]
-        if gap <= tolerance * mean or not fitting:
+        empty = min(load, key=lambda s: (load[s], s))
+        for full in sorted(load, key=lambda s: (-load[s], s)):
+            gap = load[full] - load[empty]
+            fitting = [s for s in owned[full] if 0 < bytes_of[s] < gap]
+            if fitting or gap <= tolerance * mean:
+                break
+        if gap <= tolerance * mean:
             return {slot: shard for shard, slots in owned.items() for slot in slots}
         slot = min(fitting, key=lambda s: (abs(gap / 2 - bytes_of[s]), s))
         owned[full].discard(slot)

@@ -285,7 +285,8 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_key, fp, component_id (smallest doc_id of its group).
+    """One row per row of ``docs``: doc_id, text_key, fp, component (smallest fingerprint of its group) and
+    component_id (smallest doc_id of its group).
 
     Two documents are linked when their fingerprints differ in at most ``distance`` bits. Exact and repeated
     copies share a fingerprint and meet as one entry of the index. Null and empty texts have fingerprint 0 and
@@ -298,8 +299,8 @@ def groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     named = entries.join(stars.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(smallest, "component").select("fp", "component_id")
-    return marked.join(labels, "fp").select(*KEYS, "fp", "component_id")
+    labels = named.join(smallest, "component").select("fp", "component", "component_id")
+    return marked.join(labels, "fp").select(*KEYS, "fp", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
@@ -309,8 +310,8 @@ def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame
     rows that agree in both, one. Columns are returned as they came.
     """
     placed = groups(docs, width, distance)
-    per_key = placed.groupBy(*KEYS, "component_id").agg(F.count(F.lit(1)).alias("copies"))
-    ranked = per_key.groupBy("component_id").agg(
+    per_key = placed.groupBy(*KEYS, "component").agg(F.count(F.lit(1)).alias("copies"))
+    ranked = per_key.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "copies")).alias("stays")
     )
     stays = cut(ranked.select("stays.doc_id", "stays.text_key", "stays.copies"), "stays")
