@@ -224,7 +224,11 @@ def test_toxicity_learns_rare_expressions(spark):
     model = toxicity.train(data, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     rows = toxicity.scored(data, model, "score").collect()
     held = [r for r in rows if r.doc_id < 800 and zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
-    assert np.mean([(r.score >= 0.7) == (r.doc_id % 5 == 0) for r in held]) > 0.97
+    # Two of the eight spellings stand only on rows without a label; these must still score above all ordinary texts.
+    unseen = [r for r in held if r.doc_id % 20 == 0]
+    ordinary = [r.score for r in held if r.doc_id % 5]
+    assert unseen and min(r.score for r in unseen) > max(ordinary)
+    assert np.mean([(r.score >= 0.7) == (r.doc_id % 5 == 0) for r in held if r.doc_id % 20]) > 0.97
     assert all(r.score < 0.7 for r in rows if r.doc_id >= 900)
     none = toxicity.train(data, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert all(r.score < 0.01 for r in toxicity.scored(data, none, "lang").select(F.col("lang").alias("score")).collect())
