@@ -11,7 +11,7 @@ from tabulark.session import prepare
 BROADCAST_ROWS = 1_000_000
 
 # Rows that go to a Python worker at a time, which bounds its memory where texts are long.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 256
 
 # The columns that stand for one document: its id and a hash of its text.
 KEYS = ["doc_id", "text_key"]
