@@ -10,7 +10,10 @@ bytes' pieces.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 # Added to the lowest score for a character that has no piece.
 UNKNOWN_PENALTY = 10.0
+LEAST = float("-inf")
 # Encoded stretches a worker remembers at most, and the longest it remembers.
 REMEMBERED, LONGEST = 1 << 19, 64
 
@@ -44,16 +48,22 @@ class Vocabulary:
                 self.pieces[piece] = (i, model.get_score(i))
                 self.spelled.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.pieces), default=1)
-        self.starts = {piece[:n] for piece in self.pieces for n in range(1, len(piece) + 1)}
+        # One level per character; a piece's score and id stand under the empty text.
+        self.tree: dict = {}
+        for piece, (i, score) in self.pieces.items():
+            node = self.tree
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = (score, (i,))
         usual = [score for _, score in self.pieces.values() if score > -1e8]
         self.unknown = min(usual, default=0.0) - UNKNOWN_PENALTY
 
 
 def viterbi(text: Iterable[str], vocabulary: Vocabulary) -> Iterator[list[int]]:
     """Ids of a stream of characters, committed boundary by boundary."""
-    pieces, starts, longest = vocabulary.pieces, vocabulary.starts, vocabulary.longest
-    stream = iter(text)
-    ahead = ""  # characters from the next position on, one longest piece at most
+    tree, longest = vocabulary.tree, vocabulary.longest
+    stream, more = iter(text), True
+    ahead, here = "", 0  # a few longest pieces of characters, and the next position's place among them
     base, at, reach = 0, 0, 0  # last committed boundary, next position, farthest end of a piece so far
     score: dict[int, float] = {0: 0.0}
     back: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -66,28 +76,29 @@ def viterbi(text: Iterable[str], vocabulary: Vocabulary) -> Iterator[list[int]]:
         return [i for ids in reversed(found) for i in ids]
 
     while True:
-        while len(ahead) < longest and (char := next(stream, None)) is not None:
-            ahead += char
-        if not ahead:
+        if more and len(ahead) - here < longest:
+            read = "".join(islice(stream, 4 * longest))
+            ahead, here, more = ahead[here:] + read, 0, len(read) == 4 * longest
+        if here == len(ahead):
             break
-        own, single = score.pop(at), False
-        for size in range(1, len(ahead) + 1):
-            part = ahead[:size]
-            if part not in starts:
+        own, node, end = score.pop(at), tree, at
+        for char in ahead[here : here + longest]:
+            if (node := node.get(char)) is None:
                 break
-            if (hit := pieces.get(part)) is not None:
-                single |= size == 1
-                end, total = at + size, own + hit[1]
-                reach = max(reach, end)
-                if end not in score or total > score[end]:
-                    score[end], back[end] = total, (at, (hit[0],))
-        if not single:
+            end += 1
+            if (hit := node.get("")) is not None:
+                total = own + hit[0]
+                if end > reach:
+                    reach = end
+                if total > score.get(end, LEAST):
+                    score[end], back[end] = total, (at, hit[1])
+        if ahead[here] not in vocabulary.pieces:
             end, total = at + 1, own + vocabulary.unknown
             reach = max(reach, end)
-            if end not in score or total > score[end]:
+            if total > score.get(end, LEAST):
                 score[end] = total
-                back[end] = (at, tuple(vocabulary.bytes_ids[b] for b in ahead[0].encode("utf-8", "surrogatepass")))
-        ahead, at = ahead[1:], at + 1
+                back[end] = (at, tuple(vocabulary.bytes_ids[b] for b in ahead[here].encode("utf-8", "surrogatepass")))
+        here, at = here + 1, at + 1
         meet = at
         if reach > at:
             if at - base < 4 * longest or (at - base) % longest:
@@ -120,7 +131,7 @@ class Encoder:
 
     def _encode(self, stretch: str) -> bytes:
         ids = [i for part in viterbi(stretch, self.vocabulary) for i in part]
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text, which is read with a space before it."""
@@ -139,6 +150,18 @@ class Encoder:
         return b"".join(found)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model_file: str) -> Encoder:
+    """One encoder per worker process, which keeps its vocabulary and what it remembers from task to task."""
+    return Encoder(model_file)
+
+
+@lru_cache(maxsize=1)
+def spelled_of(model_file: str) -> list[bytes]:
+    """The bytes of every id, read once per worker process."""
+    return Vocabulary(model_file).spelled
+
+
 def encoded(model_file: str):
     """Column function: the ids of a text as little-endian unsigned 32-bit numbers.
 
@@ -147,7 +170,7 @@ def encoded(model_file: str):
 
     @F.pandas_udf("binary")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(model_file)
+        encoder = encoder_of(model_file)
         for texts in parts:
             yield pd.Series([None if t is None else encoder.ids(t) for t in texts], dtype=object)
 
@@ -159,7 +182,7 @@ def decoded(model_file: str):
 
     @F.pandas_udf("string")
     def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        spelled = Vocabulary(model_file).spelled
+        spelled = spelled_of(model_file)
         for column in parts:
             texts = []
             for ids in column:
