@@ -52,7 +52,7 @@ def vocabulary() -> dict[str, str]:
 @registered
 def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.without_repeated_lines(docs, distance=3, similarity=0.8, name="lines")
+    kept = line_dedup.without_repeated_lines(docs, similarity=0.8, name="lines")
     return kept.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2("lines.kept", 256).alias("kept_sha256"))
 
 

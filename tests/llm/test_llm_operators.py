@@ -141,6 +141,44 @@ def test_line_groups(spark, texts):
     assert line_dedup.without_repeated_lines(table(spark, [])).count() == 0
 
 
+def word_changes(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row = row, [i]
+        for j, b in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
+    return row[-1]
+
+
+def test_similar_lines_are_found_at_every_length(spark):
+    settled(spark)
+    rng = np.random.default_rng(8)
+    lines = []
+    for n in [*range(4, 13), *range(14, 51, 4)] * 4:
+        base = list(rng.choice(WORDS, n))
+        lines.append(base)
+        for most in (n // 5, n // 5, n // 5 + 1, 1):
+            other = list(base)
+            for place in rng.choice(n, most, replace=False) if rng.random() < 0.5 else range(most and 4, n, 5):
+                other[place] = str(rng.choice(WORDS))
+            if rng.random() < 0.3:
+                del other[int(rng.integers(len(other)))]
+            lines.append(other)
+    lines.append(["x"] * 20)
+    lines.append(["x"] * 17 + ["y"])
+    order = sorted({" ".join(x): x for x in lines}.items(), key=lambda item: len(item[1]))
+    pairs = []
+    for i, (_, x) in enumerate(order):
+        for j, (_, y) in enumerate(order[:i]):
+            most = len(x) // 5
+            if len(x) - len(y) <= most and len(set(x) & set(y)) * 2 >= len(set(y)) and word_changes(x, y) <= most:
+                pairs.append((i, j))
+    root = connected(len(order), pairs)
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(order)], "doc_id bigint, text string")
+    kept = {r.doc_id for r in line_dedup.without_repeated_lines(rows).collect() if not r.lines.n_removed}
+    assert len(pairs) > 150 and kept == {i for i, r in enumerate(root) if i == r}
+
+
 def test_repeated_passages(spark, docs, texts):
     width = 35
     words = [(t or "").encode().split() for _, t in texts]
