@@ -109,7 +109,7 @@ def pieces_model() -> str:
 def op3_streaming_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = docs.withColumn("ids", sentencepiece_codec.encoded(model)("text"))
+    both = docs.withColumn("ids", sentencepiece_codec.merged(model)("text"))
     both = both.withColumn("decoded", sentencepiece_codec.decoded(model)("ids"))
     return both.select(
         "doc_id",

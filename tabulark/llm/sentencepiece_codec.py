@@ -13,6 +13,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -150,6 +151,60 @@ class Encoder:
         return b"".join(found)
 
 
+class Merges(Encoder):
+    """Whole texts to the ids of the model's own merges: of all neighbours that form a piece the best score goes first, then the leftmost.
+
+    No merge crosses a boundary between stretches, nor one between two characters that no piece has side by side.
+    """
+
+    def __init__(self, model_file: str):
+        super().__init__(model_file)
+        self.beside = {piece[i : i + 2] for piece in self.vocabulary.pieces for i in range(len(piece) - 1)}
+
+    def _encode(self, stretch: str) -> bytes:
+        ids, low = [], 0
+        for at in range(1, len(stretch) + 1):
+            if at == len(stretch) or stretch[at - 1 : at + 1] not in self.beside:
+                ids += self._merged(stretch[low:at])
+                low = at
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _merged(self, text: str) -> list[int]:
+        pieces, n = self.vocabulary.pieces, len(text)
+        parts, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(left: int):
+            if left >= 0 and after[left] < n and (hit := pieces.get(whole := parts[left] + parts[after[left]])):
+                heappush(heap, (-hit[1], left, len(whole)))
+
+        for left in range(n):
+            offer(left)
+        while heap:
+            _, left, size = heappop(heap)
+            right = after[left]
+            # Since the offer one of the two may have been merged.
+            if not parts[left] or right >= n or len(parts[left]) + len(parts[right]) != size:
+                continue
+            parts[left], parts[right] = parts[left] + parts[right], ""
+            after[left] = after[right]
+            if after[left] < n:
+                before[after[left]] = left
+            offer(before[left])
+            offer(left)
+        ids = []
+        for part in filter(None, parts):
+            hit = pieces.get(part)
+            ids += [hit[0]] if hit else [self.vocabulary.bytes_ids[b] for b in part.encode("utf-8", "surrogatepass")]
+        return ids
+
+
+@lru_cache(maxsize=1)
+def merges_of(model_file: str) -> Merges:
+    """One encoder per worker process, as ``encoder_of``."""
+    return Merges(model_file)
+
+
 @lru_cache(maxsize=1)
 def encoder_of(model_file: str) -> Encoder:
     """One encoder per worker process, which keeps its vocabulary and what it remembers from task to task."""
@@ -177,6 +232,18 @@ def encoded(model_file: str):
     return encode
 
 
+def merged(model_file: str):
+    """Column function: the ids that the model's merges give, as little-endian unsigned 32-bit numbers; null stays null."""
+
+    @F.pandas_udf("binary")
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = merges_of(model_file)
+        for texts in parts:
+            yield pd.Series([None if t is None else encoder.ids(t) for t in texts], dtype=object)
+
+    return encode
+
+
 def decoded(model_file: str):
     """Column function: the text of such ids. A space sign in the original text comes back as a space; null stays null."""
 
