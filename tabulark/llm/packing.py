@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Tokens of the vocabulary that are found in any text before the pattern cuts it; the rank file does not hold them.
+ADDED = {"<|endoftext|>": 50256}
 # Encoded words a worker remembers at most.
 REMEMBERED = 1 << 19
 PIECE = (
@@ -56,7 +58,17 @@ class ByteBpe:
         self.runs = re.compile(r"\s \s")
         self.borders = re.compile(r"(?<=\S)(?= \S)")
 
+        self.added = {token: np.array([i], "<u4").tobytes() for token, i in ADDED.items()}
+        self.marks = re.compile("|".join(map(re.escape, ADDED)))
+
     def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids; the parts between added tokens are encoded each for itself."""
+        if not self.marks.search(text):
+            return self._ids(text)
+        parts, marks = self.marks.split(text), self.marks.findall(text)
+        return self._ids(parts[0]) + b"".join(self.added[mark] + self._ids(part) for mark, part in zip(marks, parts[1:]))
+
+    def _ids(self, text: str) -> bytes:
         if len(self.words) > REMEMBERED:
             self.words.clear()
         if self.runs.search(text):
