@@ -1,4 +1,4 @@
-"""Passages that occur more than once, by relative Lempel-Ziv parsing against an index of the whole corpus.
+"""Passages that occur more than once, by anchored window hashes in place of a greedy relative Lempel-Ziv parse.
 
 Every document is parsed from left to right into phrases. A phrase is a run of windows (``width`` consecutive
 words) that share their smallest word group, its anchor; equal windows have equal anchors wherever they stand.
