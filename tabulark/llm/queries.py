@@ -17,7 +17,9 @@ from tabulark.llm import (
     sharding,
     simhash_dedup,
     substring_dedup,
+    token_alignment,
     toxicity,
+    whitening,
 )
 from tabulark.llm.common import settled
 from tabulark.scratch import cut
@@ -185,3 +187,15 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "virtual_slot",
         "map_version",
     )
+
+
+@registered
+def op11_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whitened(table(spark, sf_dir, "embeddings"), components=4, scale=256.0)
+    # Beyond 64 bits the exact deviation has no long; the operator itself gives a decimal.
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+@registered
+def op12_anchored_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(table(spark, sf_dir, "documents"), **vocabulary(), model_file=pieces_model())
