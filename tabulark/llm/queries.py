@@ -13,6 +13,7 @@ from tabulark.llm import (
     line_dedup,
     packing,
     quality_rules,
+    secret_scan,
     sentencepiece_codec,
     sharding,
     simhash_dedup,
@@ -22,7 +23,7 @@ from tabulark.llm import (
     whitening,
 )
 from tabulark.llm.common import settled
-from tabulark.scratch import cut
+from tabulark.scratch import cut, table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -199,3 +200,63 @@ def op11_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFram
 @registered
 def op12_anchored_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.aligned(table(spark, sf_dir, "documents"), **vocabulary(), model_file=pieces_model())
+
+
+SECRET_RULES = (*secret_scan.BASE, *secret_scan.ADDED)
+
+
+@registered
+def op13_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secret_scan.opened(spark, table_path(spark, "secret-ledger"))
+    secret_scan.scan(docs, SECRET_RULES, ledger)
+    found = secret_scan.findings(docs, SECRET_RULES, ledger)
+    counts = [
+        F.size(secret_scan.of_kind(F.col("found"), rule.kind)).cast("bigint").alias(f"n_{rule.kind}") for rule in secret_scan.BASE
+    ]
+    base = secret_scan.of_kind(F.col("found"), *[rule.kind for rule in secret_scan.BASE])
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("found")).alias("spans")
+    )
+
+
+def _secrets_sql() -> str:
+    """The rules over every row: stretches between the hits and the hits alternate, so their lengths give the places."""
+
+    def quoted(pattern: str) -> str:
+        # The counterpart's (?i) would also take letters beyond ASCII.
+        for word in ("password", "passwd", "secret", "token", "api_?key"):
+            pattern = pattern.replace(f"{word}|", f"{any_case(word)}|").replace(f"{word})", f"{any_case(word)})")
+        return "'" + pattern.replace("(?i:", "(?:").replace("'", "''") + "'"
+
+    def any_case(word: str) -> str:
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+    hits = " UNION ALL ".join(
+        f"""SELECT place, text, '{rule.kind}' AS kind, {k} AS listed, {rule.least} AS least,
+        regexp_extract_all(text, {quoted(rule.pattern)}, 0) AS hits, regexp_extract_all(text, {quoted(rule.pattern)}, {rule.judged}) AS judged,
+        string_split_regex(text, {quoted(rule.pattern)}) AS between FROM docs"""
+        for k, rule in enumerate(SECRET_RULES)
+    )
+    base = ", ".join(f"'{rule.kind}'" for rule in secret_scan.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{rule.kind}') AS n_{rule.kind}" for rule in secret_scan.BASE)
+    line = "string_agg(kind || ':' || start || ':' || (start + length), ',' ORDER BY start, listed)"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS place, doc_id, coalesce(text, '') AS text FROM documents),
+hits AS ({hits}),
+each AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM hits),
+spans AS (
+    SELECT place, kind, listed, length(hits[i]) AS length,
+        CAST(list_sum([length(x) FOR x IN between[1:i]]) + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0) AS BIGINT) AS start
+    FROM each WHERE length(judged[i]) >= least
+),
+found AS (
+    SELECT place, {counts}, {line} FILTER (kind IN ({base})) AS base, {line} AS spans FROM spans GROUP BY place
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{rule.kind}, 0) AS n_{rule.kind}" for rule in secret_scan.BASE)},
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN found USING (place)
+"""
+
+
+ORACLE_SQL["op13_blob_ledger_secrets"] = _secrets_sql()
