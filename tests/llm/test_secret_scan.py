@@ -94,7 +94,7 @@ def test_texts_move_once_and_no_python_runs(spark):
     plan = secret_scan.unseen(versions, RULES, secret_scan.entries(spark, path))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     # Copies are dropped before the exchange of the texts; the other one is that of the ledger's addresses.
-    assert plan.count("Exchange") == 2 and "partial_first(text" in plan
+    assert plan.count("Exchange hashpartitioning") == 2 and "partial_first(text" in plan
 
 
 def test_the_query_agrees_with_its_sql(spark):
