@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import html
 import re
 from collections.abc import Callable, Mapping, Sequence
 
@@ -161,6 +162,11 @@ def words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_column(text)), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def words_of(key: str) -> list[str]:
+    """A search key cut as texts are: lower-case words, entities decoded. Several words are a phrase."""
+    return re.findall(r"[^\W_]+", html.unescape(key).lower())
+
+
 def phrase(field: str | Column, text: str) -> Column:
     """The text's words one after the other as whole words, without regard to case.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulark.operators.diffs import merged
-from tabulark.operators.predicates import group, words
+from tabulark.operators.predicates import group, words, words_of
 from tabulark.scale import lookup_join
 from tabulark.scratch import cut
 
@@ -49,34 +49,38 @@ def terms_of(keys: str | Sequence[str], mode: str = "terms") -> list[str]:
 
 
 def search(docs: DataFrame, key: str, field: str, keys: Sequence[str], conjunction: str = "OR") -> DataFrame:
-    """Matching documents with a relevance score; at least one keyword is required.
+    """Matching documents with a relevance score, without an index; at least one keyword is required.
 
-    One pass over the texts counts every keyword per document; the hits are written, and
-    scored there without a shuffle. Document frequencies are one number per keyword.
+    Keys are cut as the texts are; several words are a phrase, keys without a word are left out. One pass over the
+    texts counts every key per document; the hits are written, and scored there without a shuffle.
+    Document frequencies are one number per key.
     """
-    terms = sorted({k.lower() for k in keys if k.strip()})
-    if not terms:
+    units = sorted({tuple(found) for found in map(words_of, keys) if found})
+    if not units:
         raise ValueError("a search needs at least one keyword")
 
-    def equals(term: str):
-        return lambda word: word == term
+    def count(found: Column, unit: tuple[str, ...]) -> Column:
+        if len(unit) == 1:
+            return F.size(F.filter(found, lambda word: word == unit[0]))
+        wanted = F.array(*[F.lit(word) for word in unit])
+        return F.size(F.filter(F.transform(found, lambda _, i: F.slice(found, i + 1, len(unit))), lambda run: run == wanted))
 
     def counts(found: Column) -> Column:
-        return F.array(*[F.size(F.filter(found, equals(t))) for t in terms])
+        return F.array(*[count(found, unit) for unit in units])
 
     # A one-element array binds the words, so they are cut once for all keywords.
     tf = F.transform(F.array(words(field)), counts)[0]
     # A text without the letters of the keywords need not be cut into words.
     lowered = F.lower(field)
-    likely = docs.filter(group("OR", [lowered.contains(t) for t in terms]))
+    likely = docs.filter(group("OR", [group("AND", [lowered.contains(word) for word in unit]) for unit in units]))
     texts = likely.select(key, field)
     hits = cut(texts.select(key, tf.alias("tf")), "hits").filter(F.exists("tf", lambda n: n > 0))
     total = docs.count()
-    with_term = hits.agg(*[F.count_if(F.col("tf")[i] > 0).alias(t) for i, t in enumerate(terms)]).first()
+    with_term = hits.agg(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(units))]).first()
     idf = [math.log(total / n) if n else 0.0 for n in with_term]
     score = sum((F.col("tf")[i] * F.lit(weight) for i, weight in enumerate(idf)), F.lit(0.0))
     scored = hits.select(key, F.round(score, 4).alias("score"), F.size(F.filter("tf", lambda n: n > 0)).cast("bigint").alias("terms"))
-    return scored.filter(F.col("terms") == len(terms)) if conjunction == "AND" else scored
+    return scored.filter(F.col("terms") == len(units)) if conjunction == "AND" else scored
 
 
 def completions(docs: DataFrame, field: str, prefix: str, limit: int = 10) -> DataFrame:

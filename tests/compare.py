@@ -83,7 +83,7 @@ def main(wanted: list[str]) -> int:
     sql = contract.oracle_sql()
     bad = 0
     for name, query in contract.queries().items():
-        module = raw[name].__module__.split(".")[-1]
+        module = raw[name].__module__.split(".")[-1] if name in raw else ""
         if wanted and name not in wanted and module not in wanted:
             continue
         began = time.time()
