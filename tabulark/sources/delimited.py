@@ -7,11 +7,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window, WindowSpec
 
 from tabulark.scratch import cut, table_path
 
 MAX_HEADING = 64
 HASH_LENGTH = 4
+# The column of a record that does not fit its heading.
+BAD = "__rejected_record__"
 
 
 def heading(name: str) -> str:
@@ -33,52 +36,120 @@ def read_delimited(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 def drop_blank_rows(df: DataFrame) -> DataFrame:
     """Remove records whose every cell is empty."""
-    filled = [F.when(F.trim(c) != "", F.lit(1)) for c in df.columns]
+    filled = [F.when(F.trim(F.col(f"`{c}`")) != "", F.lit(1)) for c in df.columns if c != BAD]
     return df.filter(F.coalesce(*filled).isNotNull())
 
 
-def record_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines (``value``) of CSV files without line breaks in cells, blank ones too, less each file's heading line.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file, the block they stand in, and a number that rises within the block."""
+    place = F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place)
+    return lines.withColumn("at", F.monotonically_increasing_id())
 
-    The heading is the first line of the block that begins its file.
+
+def _opens(line: Column) -> Column:
+    """Whether a line that begins outside quotes ends inside: a quote at the beginning of a cell that has no end."""
+    closed = F.regexp_replace(line, r'(^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|$)', "$1")
+    return closed.rlike(r'(^|,)"')
+
+
+def _state_before(start: int, within: WindowSpec) -> tuple[Column, Column]:
+    """The swaps up to each row, and whether each row begins inside quotes (1) when the first one begins in ``start``.
+
+    A row turns the state into ``from0`` or ``from1``. Rows with both equal decide it whatever came before; since the last of
+    these only the rows that swap it count.
     """
-    place = F.col("_metadata.file_block_start").alias("_block")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), place)
-    lines = lines.withColumn("_at", F.monotonically_increasing_id())
-    headings = lines.filter("_block = 0").groupBy("_file").agg(F.min("_at").alias("_at"))
-    return lines.join(headings, ["_file", "_at"], "left_anti").select("value")
+    swaps = F.sum("swap").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    decided = F.when(F.col("from0") == F.col("from1"), F.struct(F.col("from0").alias("state"), F.col("swaps").alias("swaps")))
+    last = F.last(decided, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.col("swaps") - F.col("swap")
+    return swaps, F.pmod(F.coalesce(last["state"] + before - last["swaps"], F.lit(start) + before), F.lit(2)).cast("int")
 
 
-def records_of_lines(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
-    """Lines as records under the heading of the files; a blank line is a record of empty cells."""
-    names = read_delimited(spark, path).columns
-    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    cells = F.from_csv("value", schema, {"escape": '"'})
-    return lines.select(cells.alias("cells")).select(*[F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)])
+def _with_states(rows: DataFrame, within: WindowSpec) -> DataFrame:
+    """Adds ``before0`` and ``before1``, the state before each row for either start."""
+    rows = rows.withColumn("swap", ((F.col("from0") == 1) & (F.col("from1") == 0)).cast("int"))
+    rows = rows.withColumn("swaps", _state_before(0, within)[0])
+    return rows.withColumns({f"before{k}": _state_before(k, within)[1] for k in (0, 1)})
 
 
-def without_null_literals(line: Column) -> Column:
-    """A line with its bare ``NULL`` cells emptied, in one pass: quoted stretches are matched first and stay."""
-    return F.regexp_replace(line, r'("[^"]*+")|(?<=^|,)NULL(?=,|$)', "$1")
+def record_lines(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The records (``value``) of CSV files as text, blank lines too, less each file's heading and what stands before it.
+
+    Line breaks inside quotes stay in their record, as ``\\n``. Where no line ends inside quotes, lines are records and nothing moves.
+    Otherwise every block works out, in one task of its own, how it would end if it began outside or inside quotes; a table
+    of one row per block then tells which it was. Only lines of records with breaks are put together, by record.
+    A quote inside a cell that does not begin with one is text.
+    """
+    lines = _lines(spark, path)
+    filled = F.when(F.trim("value") != "", F.col("at"))
+    if not multi_line or not lines.where(_opens(F.col("value"))).head(1):
+        return _without_headings(lines, lines.groupBy("file", "block").agg(F.min(filled).alias("first"))).select("value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    turned = lines.withColumns({"from0": _opens(F.col("value")).cast("int"), "from1": (1 - quotes % 2).cast("int")})
+    within = Window.partitionBy("file", "block").orderBy("at")
+    turned = _with_states(turned, within)
+    for k in (0, 1):
+        turned = turned.withColumn(f"after{k}", F.when(F.col(f"before{k}") == 0, F.col("from0")).otherwise(F.col("from1")))
+        begun = F.last(F.when(F.col(f"before{k}") == 0, F.col("at")), ignorenulls=True)
+        turned = turned.withColumn(f"begun{k}", begun.over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    kept = ["file", "block", "at", "value", *[f"{name}{k}" for name in ("before", "after", "begun") for k in (0, 1)]]
+    turned = cut(turned.select(*kept), "csv-lines")
+    ends = [F.max_by(f"{name}{k}", "at").alias(f"{new}{k}") for name, new in (("after", "from"), ("begun", "begun")) for k in (0, 1)]
+    blocks = turned.groupBy("file", "block").agg(F.min(filled).alias("first"), *ends)
+    # One row per block of a file.
+    along = Window.partitionBy("file").orderBy("block")
+    blocks = _with_states(blocks, along).withColumn("inside", F.col("before0"))
+    begun = F.when(F.col("inside") == 0, F.col("begun0")).otherwise(F.col("begun1"))
+    carried = F.last(begun, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = cut(blocks.withColumn("carried", carried).select("file", "block", "first", "inside", "carried"), "csv-blocks")
+
+    def of(name: str) -> Column:
+        return F.when(F.col("inside") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
+
+    placed = turned.join(blocks.drop("first"), ["file", "block"]).select(
+        "file", "block", "value", "at", of("before").alias("before"), of("after").alias("after"), F.coalesce(of("begun"), "carried").alias("begun")
+    )
+    whole = (F.col("before") == 0) & (F.col("after") == 0)
+    pieces = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    broken = placed.where(~whole).groupBy("file", F.col("begun").alias("at")).agg(pieces.alias("pieces"))
+    broken = broken.select("file", F.col("pieces")[0]["block"].alias("block"), "at", F.array_join(F.col("pieces.value"), "\n").alias("value"))
+    records = placed.where(whole).select("file", "block", "at", "value").unionByName(broken)
+    return _without_headings(records, blocks).select("value")
+
 
+def _without_headings(records: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Records behind their file's heading, its first record that is not blank; ``first`` is the first such line of a block."""
+    headings = blocks.where("first is not null").groupBy("file").agg(F.min(F.struct("block", "first")).alias("heading"))
+    joined = records.join(headings, "file", "left")
+    return joined.where(F.struct("block", "at") > F.struct("heading.block", "heading.first"))
 
-def read_with_null_literal(spark: SparkSession, path: str) -> DataFrame:
-    """Like ``read_delimited``, with an unquoted ``NULL`` cell read as empty.
 
-    The CSV reader cannot tell ``NULL`` from ``"NULL"``, so lines are rewritten first.
+def records_of_lines(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
+    """Records as rows under the heading of the files; a blank line is a row of empty cells.
+
+    A record whose number of cells is not the heading's stands in one more column, whole, beside its cut or filled up cells.
     """
-    lines = record_lines(spark, path).select(without_null_literals(F.col("value")).alias("value"))
-    return records_of_lines(spark, path, lines)
+    names = read_delimited(spark, path, multi_line=True).columns
+    if not "".join(names).strip():
+        # Reading whole files, the reader takes a line of spaces for the heading; by line it does not.
+        names = read_delimited(spark, path).columns
+    schema = ", ".join([f"`c{i}` string" for i in range(len(names))] + [f"{BAD} string"])
+    cells = F.from_csv("value", schema, {"escape": '"', "columnNameOfCorruptRecord": BAD, "multiLine": "true"})
+    found = lines.select("value", cells.alias("cells"))
+    bad = F.when((F.col("value") != "") & F.col(f"cells.{BAD}").isNotNull(), F.col("value")).alias(BAD)
+    return found.select(*[F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)], bad)
 
 
-def rejected_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """The records (``record``) whose number of cells is not the heading's: what the reader cuts or fills up."""
-    names = read_delimited(spark, path, multi_line).columns
-    schema = ", ".join([f"`c{i}` string" for i in range(len(names))] + ["_bad string"])
-    raw = spark.read.schema(schema).csv(
-        path, header=True, multiLine=multi_line, escape='"', columnNameOfCorruptRecord="_bad", enforceSchema=True
-    )
-    return cut(raw, "records").filter("_bad is not null").select(F.col("_bad").alias("record"))
+def without_null_literals(line: Column) -> Column:
+    """A line with its bare ``NULL`` cells emptied, in one pass: quoted stretches are matched first and stay."""
+    return F.regexp_replace(line, r'("[^"]*+")|(?<=^|,)NULL(?=,|$)', "$1")
+
+
+def rejected_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records (``record``) whose number of cells is not the heading's: what an import cuts or fills up."""
+    rows = records_of_lines(spark, path, record_lines(spark, path))
+    return cut(rows.select(BAD), "rejected").where(F.col(BAD).isNotNull()).select(F.col(BAD).alias("record"))
 
 
 def import_delimited(
@@ -87,25 +158,28 @@ def import_delimited(
     remove_empty_rows: bool = True,
     null_literal: bool = False,
     target: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
+    rejects: str | None = None,
 ) -> DataFrame:
     """Import one CSV resource as a table, replacing an earlier import at ``target``.
 
-    Without ``remove_empty_rows`` blank lines are records too. ``multi_line`` reads line breaks inside quotes, as
-    ``read_delimited`` does; the null literal and blank lines are matters of lines and do not go with it.
+    Cells may hold line breaks inside quotes; files stay splittable. Without ``multi_line`` every line is a record. With ``null_literal`` an unquoted ``NULL`` is an empty
+    cell. Without ``remove_empty_rows`` blank lines behind the heading are records too. Records whose number of cells is not the
+    heading's are cut or filled up, and written whole (``record``) to ``rejects`` where that is given, from the same pass.
     """
-    if multi_line and (null_literal or not remove_empty_rows):
-        raise ValueError("multi_line goes with neither null_literal nor kept blank lines")
+    lines = record_lines(spark, path, multi_line)
     if null_literal:
-        rows = read_with_null_literal(spark, path)
-    elif remove_empty_rows:
-        rows = read_delimited(spark, path, multi_line)
-    else:
-        rows = records_of_lines(spark, path, record_lines(spark, path))
+        lines = lines.select(without_null_literals(F.col("value")).alias("value"))
+    rows = records_of_lines(spark, path, lines)
     if remove_empty_rows:
         rows = drop_blank_rows(rows)
     target = target or table_path(spark, "resource")
-    rows.write.mode("overwrite").parquet(target)
+    if rejects is None:
+        rows.drop(BAD).write.mode("overwrite").parquet(target)
+        return spark.read.parquet(target)
+    rows = cut(rows, "records")
+    rows.drop(BAD).write.mode("overwrite").parquet(target)
+    rows.where(F.col(BAD).isNotNull()).select(F.col(BAD).alias("record")).write.mode("overwrite").parquet(rejects)
     return spark.read.parquet(target)
 
 

@@ -100,6 +100,20 @@ def null_literal_on_import(spark, sf_dir):
     return delimited.import_delimited(spark, path, null_literal=True)
 
 
+@registered(
+    "SELECT cast(doc_id AS varchar) AS doc_id, md5(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_md5, source "
+    "FROM documents"
+)
+def csv_records_with_breaks(spark, sf_dir):
+    """Whole texts, line breaks and quotes included, as cells of an import."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source")
+    path = table_path(spark, "documents-csv")
+    exact = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.csv(path, header=True, escape='"', quoteAll=True, **exact)
+    rows = delimited.import_delimited(spark, path, remove_empty_rows=False)
+    return rows.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "source")
+
+
 @registered(
     "SELECT doc_id AS identifier, CASE WHEN lang = 'de' THEN source || ' (revised)' ELSE source END AS publisher, "
     "lang, n_chars FROM documents"
