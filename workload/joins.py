@@ -177,6 +177,36 @@ def implied_join(spark, sf_dir):
     )
 
 
+@registered(
+    "SELECT c_name AS customer, home.n_name AS home, seat.n_name AS seat, count(*) AS n_lines FROM lineitem "
+    "JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation home ON c_nationkey = home.n_nationkey "
+    "JOIN supplier ON l_suppkey = s_suppkey JOIN nation seat ON s_nationkey = seat.n_nationkey "
+    "WHERE home.n_name <> seat.n_name AND c_mktsegment = 'FURNITURE' GROUP BY ALL"
+)
+def implied_joins_by_alias(spark, sf_dir):
+    """One table by two aliases, and relations that only other relations name; the unnamed relation is not joined."""
+    relations = {
+        "home": {"resource": "nation", "on": "c.c_nationkey = home.n_nationkey"},
+        "seat": {"resource": "nation", "on": "s.s_nationkey = seat.n_nationkey"},
+        "s": {"resource": "supplier", "on": "l.l_suppkey = s.s_suppkey"},
+        "c": {"resource": "customer", "on": "o.o_custkey = c.c_custkey"},
+        "o": {"resource": "orders", "on": "l.l_orderkey = o.o_orderkey"},
+        "p": {"resource": "part", "on": "l.l_partkey = p.p_partkey"},
+    }
+    rows = spec.run(
+        {name: table(spark, sf_dir, name) for name in ("lineitem", "orders", "customer", "supplier", "nation", "part")},
+        {
+            "resource": "lineitem",
+            "alias": "l",
+            "relations": relations,
+            "conditions": {"field": "c.c_mktsegment", "value": "FURNITURE"},
+            "fields": {"customer": "c.c_name", "home": "home.n_name", "seat": "seat.n_name"},
+            "all_rows": True,
+        },
+    )
+    return rows.where("home <> seat").groupBy("customer", "home", "seat").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @registered(
     f"SELECT c_custkey AS custkey, c_name, o_orderkey, o_orderdate FROM customer LEFT JOIN {LATEST} l "
     "ON l.custkey = c_custkey AND rn = 1"
