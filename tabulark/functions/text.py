@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
 
+# Lower-case letters with a stroke, or without a dot, that Unicode does not take apart, and their plain forms.
+STROKED = "øłđħŧı"
+PLAIN_STROKED = "oldhti"
+
 # The Unicode classes an index may ignore.
 CHARACTER_CLASSES = ["Cc", "Cf", "Co", "Me", "Pc", "Pd", "Pe", "Pf", "Pi", "Ps", "Sc", "Sk", "Zl", "Zp", "Zs"]
 
@@ -52,9 +57,32 @@ def _column(item: str | Column) -> Column:
     return F.col(item) if isinstance(item, str) else item
 
 
+@functools.cache
+def _folding() -> tuple[str, str]:
+    """What ``translate`` takes: every lower-case letter that is a letter and accents, and its letter; then the accents, which go.
+
+    By the decompositions of Unicode's basic plane, whatever the script.
+    """
+    letters, plain, accents = list(STROKED), list(PLAIN_STROKED), []
+    for code in range(0x80, 0x10000):
+        sign = chr(code)
+        if 0x300 <= code < 0x370:
+            accents.append(sign)
+            continue
+        base, *marks = unicodedata.normalize("NFD", sign)
+        letter = unicodedata.category(sign)[0] == "L" and sign == sign.lower()
+        if letter and marks and all(unicodedata.category(m) == "Mn" for m in marks):
+            letters.append(sign)
+            plain.append(base)
+    return "".join(letters + accents), "".join(plain)
+
+
 def folded(text: str | Column) -> Column:
-    """Lower case without accents, for Latin letters."""
-    return F.translate(F.lower(_column(text)), ACCENTED, PLAIN)
+    """Lower case without accents, for letters of any script, whether an accent is part of the sign or follows it.
+
+    Letters with a stroke lose it (``ł``, ``ø``, ``đ``); ligatures and ``ß`` stay.
+    """
+    return F.translate(F.lower(_column(text)), *_folding())
 
 
 def without_classes(text: str | Column, classes: Sequence[str] = tuple(CHARACTER_CLASSES)) -> Column:

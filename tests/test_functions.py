@@ -105,6 +105,15 @@ def test_lowercase_keeps_accents(value, given, lowered):
     assert value(text.folded, "Crème Brûlée") == "creme brulee"
 
 
+@pytest.mark.parametrize(
+    "given, plain",
+    [("Łódź", "lodz"), ("Škoda", "skoda"), ("Ñandú", "nandu"), ("e\u0301a\u0308\u0301", "ea"), ("İstanbul", "istanbul"), ("Άλφα Ώ", "αλφα ω"),
+     ("Йод", "иод"), ("Đặng Ệ", "dang e"), ("が", "か"), ("straße Æ ﬁ", "straße æ ﬁ"), ("한국 你好 \U0001f600", "한국 你好 \U0001f600"), ("", ""), (None, None)],
+)
+def test_accents_fold_in_any_script(value, given, plain):
+    assert value(text.folded, given) == plain
+
+
 def test_urls_and_paths(value):
     assert value(text.url_encoded, "http://a.org/b c/é?x=1&y=ü*~#t t") == "http://a.org/b%20c/%C3%A9?x%3D1&y%3D%C3%BC%2A~#t%20t"
     assert value(text.url_encoded, "b c") == "b c"

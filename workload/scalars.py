@@ -452,6 +452,23 @@ def accent_fold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.folded("text").alias("folded"))
 
 
+# Signs from several scripts, with accents as part of the sign or behind it.
+SIGNS = ["Łódź", "Škoda", "mañana", "Đặng", "İstanbul", "e\u0301te\u0301", "Άλφα", "Йод", "Øre", "ǖ"]
+
+
+@registered(
+    "WITH named AS (SELECT c_custkey, c_name || ' ' || (["
+    + ", ".join(f"'{sign}'" for sign in SIGNS)
+    + f"])[c_custkey % {len(SIGNS)} + 1] AS name FROM customer) "
+    f"SELECT translate(lower(strip_accents(lower(name))), '{text.STROKED}', '{text.PLAIN_STROKED}') AS folded, count(*) AS n FROM named GROUP BY ALL"
+)
+def accent_fold_key(spark, sf_dir):
+    signs = F.array(*[F.lit(sign) for sign in SIGNS])
+    sign = F.get(signs, (F.col("c_custkey") % len(SIGNS)).cast("int"))
+    named = table(spark, sf_dir, "customer").select(F.concat_ws(" ", "c_name", sign).alias("name"))
+    return named.groupBy(text.folded("name").alias("folded")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @registered(
     "SELECT doc_id, regexp_replace(text, '[" + "".join(rf"\p{{{c}}}" for c in text.CHARACTER_CLASSES) + "]', '', 'g') AS stripped FROM documents"
 )
