@@ -57,22 +57,36 @@ def batch_path(target: str, batch_id: int) -> str:
 def run_daily_counts(views: DataFrame, item: str, at: str, target: str, checkpoint: str, late: str = "1 day") -> None:
     """Stream the daily counters until the input is used up.
 
-    Each batch writes the counts it changed to its own folder, so a repeated
-    batch replaces itself. ``latest_counts`` reads the current state.
+    Each batch writes what it adds to the counts to its own folder, so a repeated batch replaces itself. Counts are sums,
+    so nothing has to be kept in memory between batches and a row counts however late it comes. Rows that are more than
+    ``late`` behind the newest row of earlier batches are counted as late, too.
     """
-    counts = daily_counts(views.withWatermark(at, late), item, at)
+    spark, since = views.sparkSession, F.expr(f"INTERVAL {late}")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_path(target, batch_id))
+        newest = None
+        if batch_id:
+            earlier = spark.read.parquet(target).where(F.col("batch") < batch_id)
+            newest = earlier.agg(F.max("newest")).first()[0]
+        behind = F.lit(False) if newest is None else F.col(at) < F.lit(newest) - since
+        added = batch.groupBy(F.window(at, "1 day").alias("window"), item).agg(
+            F.count(F.lit(1)).alias("daycount"), F.count_if(behind).alias("late"), F.max(at).alias("newest")
+        )
+        added.select(F.col("window.start").alias("day"), item, "daycount", "late", "newest").write.mode("overwrite").parquet(batch_path(target, batch_id))
 
-    query = counts.writeStream.outputMode("update").foreachBatch(keep)
-    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = views.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
 
 
 def latest_counts(spark: SparkSession, target: str, item: str) -> DataFrame:
-    """The last written count of each item and day."""
-    written = spark.read.parquet(target)
-    return written.groupBy("day", item).agg(F.max_by("daycount", "batch").alias("daycount"))
+    """The count of each item and day over all batches, late rows included."""
+    return spark.read.parquet(target).groupBy("day", item).agg(F.sum("daycount").alias("daycount"))
+
+
+def late_counts(spark: SparkSession, target: str, item: str) -> DataFrame:
+    """Of these counts, the rows that came late."""
+    written = spark.read.parquet(target).where("late > 0")
+    return written.groupBy("day", item).agg(F.sum("late").alias("late"))
 
 
 COMPLETED, INCOMPLETE = "COMPLETED", "INCOMPLETE"

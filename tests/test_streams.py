@@ -58,6 +58,21 @@ def test_daily_counts_go_on_after_a_restart(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, inc.daily_counts(both, "item", "at").collect()))
 
 
+def test_late_rows_count_and_are_reported(spark, tmp_path):
+    work, schema = str(tmp_path), "item string, at timestamp"
+    hour = lambda h: moment(3600 * h)
+    deliveries = [[("a", hour(100)), ("b", hour(101))], [("a", hour(1)), ("a", hour(99)), ("b", hour(200))], [("b", hour(101)), ("c", hour(199))], []]
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(work + "/in")
+        stream = inc.file_stream(spark, spark.createDataFrame([], schema).schema).parquet(work + "/in")
+        inc.run_daily_counts(stream, "item", "at", work + "/out", work + "/check", late="1 day")
+    everything = spark.createDataFrame([row for rows in deliveries for row in rows], schema)
+    got = inc.latest_counts(spark, work + "/out", "item").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, inc.daily_counts(everything, "item", "at").collect()))
+    # A day behind the newest row of earlier deliveries: a at 1 h, b at 101 h.
+    assert sorted((r.item, r.late) for r in inc.late_counts(spark, work + "/out", "item").collect()) == [("a", 1), ("b", 1)]
+
+
 def test_resumable_run_neither_loses_nor_repeats(spark, tmp_path):
     work = str(tmp_path)
     spark.range(100).repartition(5, "id").write.parquet(work + "/in")
