@@ -90,7 +90,8 @@ class Index:
         rows = self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits").orderBy("place").collect()
         last = rows[-1]
         hidden = {name for row in rows for name in row["covers"]}
-        live = [row for row in rows if row["segment"] not in hidden]
+        # A segment's later row, which adds its completions, takes the place of the earlier one.
+        live = list({row["segment"]: row for row in rows if row["segment"] not in hidden}.values())
         return State(
             [row["segment"] for row in live], last["buckets"], last["items"], any(row["tombstones"] for row in live), live[0]["listed"], last["place"]
         )
@@ -150,14 +151,25 @@ class Index:
         kept.sortWithinPartitions("bucket", "prefix").write.partitionBy("bucket").parquet(f"{self.path}/completions/segment={segment}")
 
     def build(self, items: DataFrame, buckets: int = 64, listed: int = 10) -> Index:
-        """Index all ``items`` (one row per key) as the first segment, with up to ``listed`` completions of each prefix."""
+        """Index all ``items`` (one row per key) as the first segment, with up to ``listed`` completions of each prefix.
+
+        With 0 the completions are left to ``complete``, or to be counted.
+        """
         segment = uuid.uuid4().hex
         self._add(segment, _entries(items, self.key, self.fields, buckets), items.select(self.key), None)
-        self._complete(segment, listed, buckets)
+        if listed:
+            self._complete(segment, listed, buckets)
         count = self.spark.read.parquet(f"{self.path}/items/segment={segment}").count()
         self._commit(segment, 1, [], buckets, count, False, listed)
         return self
 
+    def complete(self, listed: int = 10) -> None:
+        """Add the table of completions to an index of one segment that has none."""
+        state = self.state()
+        if len(state.segments) == 1 and not state.listed:
+            self._complete(state.segments[0], listed, state.buckets)
+            self._commit(state.segments[0], state.place + 1, [], state.buckets, state.items, state.tombstones, listed)
+
     def change(self, items: DataFrame, removed: DataFrame) -> None:
         """Take over inserted and updated ``items`` and forget the ``removed`` keys, without touching older segments.
 
@@ -172,12 +184,13 @@ class Index:
         self._commit(segment, state.place + 1, [], state.buckets, state.items - lost + new, True, 0)
 
     def merge(self, listed: int = 10) -> None:
-        """Write the visible postings as one segment that takes the place of all others."""
+        """Write the visible postings as one segment that takes the place of all others, with completions as in ``build``."""
         state, segment = self.state(), uuid.uuid4().hex
         rows = self.postings().withColumn("bucket", bucket_of(F.col("term"), state.buckets))
         rows = rows.withColumn("slice", F.pmod(F.xxhash64(self.key), F.lit(SLICES)).cast("int")).repartition("bucket", "slice")
         self._add(segment, rows, self.items(), None)
-        self._complete(segment, listed, state.buckets)
+        if listed:
+            self._complete(segment, listed, state.buckets)
         self._commit(segment, state.place + 1, state.segments, state.buckets, state.items, False, listed)
 
     # Searches.

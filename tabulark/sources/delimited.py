@@ -53,6 +53,11 @@ def _opens(line: Column) -> Column:
     return closed.rlike(r'(^|,)"')
 
 
+def _has_breaks(lines: DataFrame) -> bool:
+    """Whether some line ends inside quotes."""
+    return bool(lines.where(F.col("value").contains('"') & _opens(F.col("value"))).head(1))
+
+
 def _state_before(start: int, within: WindowSpec) -> tuple[Column, Column]:
     """The swaps up to each row, and whether each row begins inside quotes (1) when the first one begins in ``start``.
 
@@ -83,7 +88,7 @@ def record_lines(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     """
     lines = _lines(spark, path)
     filled = F.when(F.trim("value") != "", F.col("at"))
-    if not multi_line or not lines.where(_opens(F.col("value"))).head(1):
+    if not (multi_line and _has_breaks(lines)):
         return _without_headings(lines, lines.groupBy("file", "block").agg(F.min(filled).alias("first"))).select("value")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     turned = lines.withColumns({"from0": _opens(F.col("value")).cast("int"), "from1": (1 - quotes % 2).cast("int")})
@@ -167,13 +172,18 @@ def import_delimited(
     cell. Without ``remove_empty_rows`` blank lines behind the heading are records too. Records whose number of cells is not the
     heading's are cut or filled up, and written whole (``record``) to ``rejects`` where that is given, from the same pass.
     """
+    target = target or table_path(spark, "resource")
+    reads_alike = remove_empty_rows and not null_literal and rejects is None
+    if reads_alike and not (multi_line and _has_breaks(spark.read.text(path))):
+        # Lines are records and blank ones go: the reader itself does all that is asked.
+        drop_blank_rows(read_delimited(spark, path)).write.mode("overwrite").parquet(target)
+        return spark.read.parquet(target)
     lines = record_lines(spark, path, multi_line)
     if null_literal:
         lines = lines.select(without_null_literals(F.col("value")).alias("value"))
     rows = records_of_lines(spark, path, lines)
     if remove_empty_rows:
         rows = drop_blank_rows(rows)
-    target = target or table_path(spark, "resource")
     if rejects is None:
         rows.drop(BAD).write.mode("overwrite").parquet(target)
         return spark.read.parquet(target)

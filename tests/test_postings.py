@@ -118,6 +118,15 @@ def test_completions_read_one_bucket(index):
     assert index.completions("text", "", 100).count() == len(counts)
 
 
+def test_completions_can_be_added_later(spark):
+    index = made(spark, TEXTS, listed=0)
+    before = index.completions("text", "b").collect()
+    index.complete()
+    index.complete()
+    assert index.state().listed == 10 and len(index.state().segments) == 1
+    assert index.completions("text", "b").collect() == before and state_of(index) == state_of(made(spark, TEXTS))
+
+
 def test_more_like_this(spark, index):
     found = [r.id for r in index.more_like_this(frame(spark, TEXTS), "text", 1).collect()]
     assert found[0] == 6 and set(found) == {2, 3, 6}

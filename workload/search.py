@@ -20,7 +20,7 @@ def built(spark, sf_dir) -> Index:
     docs = table(spark, sf_dir, "documents")
     name = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
     if name not in _built:
-        _built[name] = Index(spark, table_path(spark, "index"), "doc_id", "bigint", FIELDS).build(docs.select("doc_id", *FIELDS))
+        _built[name] = Index(spark, table_path(spark, "index"), "doc_id", "bigint", FIELDS).build(docs.select("doc_id", *FIELDS), listed=0)
     return _built[name]
 
 
@@ -65,7 +65,9 @@ def keyword_search(spark, sf_dir):
     f"SELECT term, count(DISTINCT doc_id) AS results FROM {WORDS} WHERE term LIKE 'th%' GROUP BY term ORDER BY results DESC, term LIMIT 10"
 )
 def keyword_completion(spark, sf_dir):
-    return built(spark, sf_dir).completions("text", "Th")
+    index = built(spark, sf_dir)
+    index.complete()
+    return index.completions("text", "Th")
 
 
 @registered(
@@ -97,11 +99,11 @@ def index_changes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     index = Index(spark, table_path(spark, "changing-index"), "doc_id", "bigint", {"text": "text"})
     # All but Spanish at first; then Spanish comes in, German is rewritten, French goes.
-    index.build(docs.where("lang <> 'es'").select("doc_id", "text"), buckets=16)
+    index.build(docs.where("lang <> 'es'").select("doc_id", "text"), buckets=16, listed=0)
     rewritten = docs.where("lang = 'de'").select("doc_id", F.concat_ws(" ", "source", F.lit("with for"), "text").alias("text"))
     index.change(docs.where("lang = 'es'").select("doc_id", "text").unionByName(rewritten), docs.where("lang = 'fr'").select("doc_id"))
     changed = index.search("text", ["for", "with"]).withColumn("state", F.lit("changed"))
-    index.merge()
+    index.merge(listed=0)
     merged = index.search("text", ["for", "with"]).withColumn("state", F.lit("merged"))
     return changed.unionByName(merged).drop("terms")
 
