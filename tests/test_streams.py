@@ -41,11 +41,48 @@ def test_flood_stream_equals_batch_over_restarts(spark, tmp_path):
         events.filter((age >= low) & (age < high)).write.mode("append").parquet(work + "/in")
         stream = inc.file_stream(spark, events.schema).parquet(work + "/in")
         flood.run_flood(stream, ["who"], "at", 3, work + "/out", work + "/state", work + "/check", window=1000)
-    streamed = spark.read.parquet(work + "/out").drop("batch").collect()
+    streamed = flood.decisions(spark, work + "/out", ["who"]).collect()
     batch = flood.allowed(flood.per_second(events, ["who"], "at"), ["who"], 3, 1000).collect()
     assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch))
 
 
+def test_flood_stream_revises_clears_and_purges(spark, tmp_path):
+    import os
+
+    work, schema = str(tmp_path), "who string, at timestamp, kind string"
+    event = lambda who, *seconds: [(who, moment(s), "event") for s in seconds]
+    clear = lambda who, second: [(who, moment(second), "clear")]
+    deliveries = [
+        event("a", 100, 100, 150) + event("b", 140) + clear("c", 120),
+        event("a", 100, 120, 199, 260) + event("c", 110, 120, 130),  # one second in two parts, and late ones
+        clear("a", 150) + event("a", 151) + clear("b", 141),  # a late clearing revises what was decided after it
+        [],
+        event("a", 1000, 5) + event("b", 990, 4000),
+        event("a", 3990, 3000, 3000),  # more than 300 seconds behind 4000
+    ]
+    base = int((moment(0) - datetime.datetime(1970, 1, 1)).total_seconds())
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(work + "/in")
+        stream = inc.file_stream(spark, spark.createDataFrame([], schema).schema).parquet(work + "/in")
+        flood.run_flood(
+            stream, ["who"], "at", 3, work + "/out", work + "/state", work + "/check", 100, late=300, cleared=F.col("kind") == "clear"
+        )
+    everything = [(w, int((t - moment(0)).total_seconds()), k) for rows in deliveries for w, t, k in rows]
+    in_time = [r for r in everything if r != ("a", 3000, "event")]
+    expected = set()
+    for who, now in {r[:2] for r in in_time}:
+        own = [r for r in in_time if r[0] == who]
+        last_clear = max((s for _, s, k in own if k == "clear" and s <= now), default=-1)
+        n = sum(k == "event" and max(now - 100, last_clear) < s <= now for _, s, k in own)
+        expected.add((who, now, n, n < 3))
+    got = [(r.who, r.second - base, r.in_window, r.is_allowed) for r in flood.decisions(spark, work + "/out", ["who"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    late = flood.late_counts(spark, work + "/state", ["who"]).collect()
+    assert [(r.who, r.second - base, r.n) for r in late] == [("a", 3000, 2)]
+    spans = sorted(int(f[5:]) - base // 100 for f in os.listdir(work + "/state/seconds/in_time=true") if f.startswith("span="))
+    assert spans[0] >= 36 and spans[-1] >= 39
+
+
 def test_daily_counts_go_on_after_a_restart(spark, tmp_path):
     work = str(tmp_path)
     rows = spark.range(100).select((F.col("id") % 3).alias("item"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 4000).alias("at"))

@@ -100,14 +100,16 @@ def flood_limit_stream(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "ts")
     work = table_path(spark, "flood")
     middle = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
-    # Two deliveries in order of time; the second run starts from the state of the first.
-    for arrived in (F.col("ts") < middle, F.col("ts") >= middle):
+    day = F.expr("INTERVAL 1 DAY")
+    # Deliveries that overlap by a day on either side of the middle: seconds arrive in parts, and out of order.
+    later = (F.col("ts") >= middle + day) | ((F.col("ts") >= middle - day) & (F.xxhash64("user_id", "ts") % 2 == 0))
+    for arrived in (~later, later):
         events.filter(arrived).write.mode("append").parquet(work + "/events")
         stream = inc.file_stream(spark, events.schema).parquet(work + "/events")
         flood.run_flood(
-            stream, ["user_id"], "ts", 4, work + "/decisions", work + "/state", work + "/checkpoint", window=86400
+            stream, ["user_id"], "ts", 4, work + "/decisions", work + "/state", work + "/checkpoint", window=86400, late=3 * 86400
         )
-    return spark.read.parquet(work + "/decisions").drop("batch")
+    return flood.decisions(spark, work + "/decisions", ["user_id"])
 
 
 @registered("SELECT event_id, event_type, 'INCOMPLETE,COMPLETED' AS runs FROM events")
