@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulark.scale import numbered
 from tabulark.scratch import cut
 
 
@@ -180,11 +181,62 @@ def date_levels(df: DataFrame, value: str, levels: int) -> DataFrame:
     return every.groupBy("value").agg(F.sum("count").alias("count")).withColumn("parent", date_parent("value"))
 
 
-def tree(facets: DataFrame, levels: int) -> DataFrame:
-    """One JSON text per top value, children nested, one level folded per pass.
+def tree_rows(facets: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Facet rows numbered as a tree: the rows below one are those with ``left`` above its own and up to its ``right``.
+
+    Added are ``depth`` (1 at the top), ``left`` (place in pre-order over all facets, from 1), ``right`` and ``subtree``
+    (the counts of the row and all below it added up). Siblings follow the columns in ``order``, then the value. A value whose
+    parent has no row, or that is its own parent, stands at the top with all that hangs on it. A value with two rows
+    in a facet, and a circle of parents, are refused, as no place in a tree fits them. No rows give none.
+    """
+    facets = cut(facets, "facets")
+    if not facets.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a facet has two rows for one value")
+    step = F.array(F.struct(*[F.col(c) for c in order], F.col("value")))
+    parents = facets.where("value IS NOT NULL").select("facet", F.col("value").alias("parent"), F.lit(True).alias("_held"))
+    hung = facets.join(parents, ["facet", "parent"], "left")
+    on_top = F.col("_held").isNull() | (F.col("parent") == F.col("value"))
+    hung = cut(hung.select(*facets.columns, on_top.alias("_top"), step.alias("_step")), "hung")
+    level = hung.where("_top").withColumn("_path", F.col("_step"))
+    levels = []
+    while not level.isEmpty():
+        levels.append(cut(level.select(*facets.columns, "_path"), "level"))
+        above = levels[-1].select("facet", F.col("value").alias("parent"), F.col("_path").alias("_above"))
+        level = hung.where("NOT _top").join(above, ["facet", "parent"]).withColumn("_path", F.concat("_above", "_step"))
+    if not levels:
+        return facets.select("*", *[F.lit(0).cast(t).alias(c) for c, t in TREE_COLUMNS.items()])
+    placed = levels[0]
+    for lower in levels[1:]:
+        placed = placed.unionByName(lower)
+    if placed.count() < facets.count():
+        raise ValueError("parents form a circle")
+    ways = F.transform(F.sequence(F.lit(1), F.size("_path")), lambda i: F.slice("_path", 1, i))
+    sums = placed.select("facet", F.explode(ways).alias("_path"), "count").groupBy("facet", "_path").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("count").cast("bigint").alias("subtree")
+    )
+    rows = numbered(placed, "facet", "_path", name="left").join(sums, ["facet", "_path"])
+    rows = rows.withColumn("depth", F.size("_path").cast("int")).withColumn("right", F.col("left") + F.col("_rows") - 1)
+    return rows.select(*facets.columns, *TREE_COLUMNS)
+
+
+TREE_COLUMNS = {"depth": "int", "left": "bigint", "right": "bigint", "subtree": "bigint"}
+
+
+def below(rows: DataFrame, facet: str, values: Sequence[str]) -> DataFrame:
+    """Of numbered tree rows, the given values of a facet and everything below them, each once. As many values as a request names."""
+    chosen = rows.where((F.col("facet") == facet) & F.col("value").isin(*values))
+    ranges = [(r["left"], r["right"]) for r in chosen.select("left", "right").collect()]
+    inside = F.lit(False)
+    for left, right in ranges:
+        inside = inside | F.col("left").between(left, right)
+    return rows.where(inside)
+
+
+def tree(facets: DataFrame) -> DataFrame:
+    """One JSON text per top value, children nested, one level folded per pass; for trees that fit a text (else ``tree_rows``).
 
     A pass collects the distinct children of a value, which the calendar or the vocabulary bounds.
-    ``facets`` has (value, label, count, active, parent, level).
+    ``facets`` has (facet, value, label, count, active, parent).
     """
 
     def node(children: Column | None) -> Column:
@@ -199,17 +251,18 @@ def tree(facets: DataFrame, levels: int) -> DataFrame:
         inner = F.concat(F.expr("substring(_text, 1, length(_text) - 1)"), F.lit(',"children":['), children, F.lit("]}"))
         return F.when(children.isNull(), F.col("_text")).otherwise(inner)
 
-    facets = cut(facets, "facets")
-    below = None
-    for level in range(levels, 0, -1):
-        here = facets.filter(F.col("level") == level).withColumn("_text", node(None))
-        if below is not None:
-            folded = below.groupBy(F.col("parent").alias("value")).agg(
-                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("value", "_text"))), lambda c: c["_text"]), ",").alias("_children")
+    rows = cut(tree_rows(facets), "tree")
+    depth = rows.agg(F.max("depth")).first()[0] or 1
+    under = None
+    for level in range(depth, 0, -1):
+        here = rows.filter(F.col("depth") == level).withColumn("_text", node(None))
+        if under is not None:
+            folded = under.groupBy("facet", F.col("parent").alias("value")).agg(
+                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "_text"))), lambda c: c["_text"]), ",").alias("_children")
             )
-            here = here.join(folded, "value", "left").withColumn("_text", node(F.col("_children")))
-        below = here.select("value", "parent", "_text")
-    return below.select("value", F.col("_text").alias("tree"))
+            here = here.join(folded, ["facet", "value"], "left").withColumn("_text", node(F.col("_children")))
+        under = here.select("facet", "value", "parent", "left", "_text")
+    return under.select("value", F.col("_text").alias("tree"))
 
 
 def summary(facets: DataFrame, total: int) -> DataFrame:

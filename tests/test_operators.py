@@ -193,3 +193,26 @@ def test_salting_allows_map_columns(spark):
     df = spark.range(100).select(F.lit(1).alias("k"), F.create_map(F.lit("a"), F.col("id")).alias("m"), "id")
     lookup = spark.range(3).select(F.col("id").cast("int").alias("k"))
     assert scale.salted_join(df, lookup, ["k"], min_rows=1).count() == 100
+
+
+def test_tree_rows_lose_no_child(spark):
+    schema = "facet string, value string, parent string, count int"
+    rows = [("t", "a", None, 5), ("t", "b", "a", 2), ("t", "c", "b", 1), ("t", "ab", "a", 4), ("t", "z", "gone", 3), ("t", "y", "z", 7), ("t", None, None, 9)]
+    rows += [("s", "a", "a", 1), ("s", "b", "a", 1)]
+    numbered = facets.tree_rows(spark.createDataFrame(rows, schema)).collect()
+    got = {(r.facet, r.value): (r.depth, r.left, r.right, r.subtree) for r in numbered}
+    assert got == {
+        ("s", "a"): (1, 1, 2, 2), ("s", "b"): (2, 2, 2, 1), ("t", None): (1, 3, 3, 9), ("t", "a"): (1, 4, 7, 12), ("t", "ab"): (2, 5, 5, 4),
+        ("t", "b"): (2, 6, 7, 3), ("t", "c"): (3, 7, 7, 1), ("t", "z"): (1, 8, 9, 10), ("t", "y"): (2, 9, 9, 7),
+    }
+    tree = spark.createDataFrame(numbered)
+    assert sorted(r.value for r in facets.below(tree, "t", ["b", "a", "z"]).collect()) == ["a", "ab", "b", "c", "y", "z"]
+    by_count = facets.tree_rows(spark.createDataFrame(rows, schema), order=["count"])
+    assert [r.value for r in by_count.filter("facet = 't'").orderBy("left").collect()] == ["z", "y", "a", "b", "c", "ab", None]
+    texts = facets.tree(spark.createDataFrame(rows, schema).selectExpr("*", "value AS label", "false AS active").filter("facet = 't'"))
+    assert {r.value: r.tree for r in texts.collect()}["z"] == '{"value":"z","count":3,"children":[{"value":"y","count":7}]}'
+    empty = spark.createDataFrame([], schema)
+    assert facets.tree_rows(empty).columns == empty.columns + ["depth", "left", "right", "subtree"] and facets.tree_rows(empty).isEmpty()
+    for wrong in ([("t", "p", "q", 1), ("t", "q", "p", 1), ("t", "a", None, 1)], [("t", "a", None, 1), ("t", "a", "b", 1), ("t", "b", None, 1)]):
+        with pytest.raises(ValueError):
+            facets.tree_rows(spark.createDataFrame(wrong, schema))

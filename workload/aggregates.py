@@ -311,10 +311,24 @@ def date_hierarchy(spark, sf_dir):
     "SELECT value, '{\"value\":\"' || value || '\",\"count\":' || count || ',' || kids || '}' AS tree FROM v JOIN y ON y.parent = value"
 )
 def facet_tree(spark, sf_dir):
+    return f.tree(f.marked(order_days(spark, sf_dir), {"date": ["1997-03"]}).withColumn("label", F.col("value")))
+
+
+def order_days(spark, sf_dir):
     days = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    level = F.size(F.split("value", "-"))
-    facets = f.date_levels(days, "day", 3).withColumn("facet", F.lit("date")).withColumn("level", level)
-    return f.tree(f.marked(facets, {"date": ["1997-03"]}).withColumn("label", F.col("value")), 3)
+    return f.date_levels(days, "day", 3).withColumn("facet", F.lit("date"))
+
+
+# The row of 1996 is left out, so that its months stand at the top.
+@registered(
+    f"WITH v AS (SELECT * FROM ({DATE_LEVELS}) WHERE value <> '1996'), "
+    'n AS (SELECT *, row_number() OVER (ORDER BY value) AS "left" FROM v) '
+    "SELECT n.value, n.parent, n.count, length(n.value) // 3 - CASE WHEN n.value LIKE '1996%' THEN 1 ELSE 0 END AS depth, "
+    'n."left", n."left" + count(*) - 1 AS "right", cast(sum(d.count) AS bigint) AS subtree '
+    "FROM n JOIN v d ON starts_with(d.value, n.value) GROUP BY n.value, n.parent, n.count, n.\"left\""
+)
+def facet_tree_rows(spark, sf_dir):
+    return f.tree_rows(order_days(spark, sf_dir).filter("value <> '1996'")).drop("facet")
 
 
 @registered(
