@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabulark.plans import checks, process
+from tabulark.plans import checks, process, rules
 from workload import registered, table
 
 
@@ -63,6 +63,45 @@ def schema_validation(spark, sf_dir):
     return checked.select("event_id", F.when(F.col("valid"), F.col("record.k")).alias("k"), "valid")
 
 
+EVENT_RECORD = {
+    "type": "object",
+    "required": ["contact"],
+    "properties": {
+        "kind": {"type": "string", "enum": ["signup", "purchase", "click"]},
+        "amount": {"type": "number", "minimum": 1, "exclusiveMaximum": 100},
+        "contact": {"required": ["email"], "properties": {"email": {"format": "email"}}},
+        "marks": {"type": "array", "uniqueItems": True, "items": {"type": "integer", "maximum": 89}},
+    },
+}
+
+
+# Some records are cut off, the others break each rule now and then.
+@registered(
+    "WITH e AS (SELECT *, json_extract_string(props, '$.k')::int AS k FROM events), "
+    "f AS (SELECT event_id, CASE WHEN event_type = 'view' AND k = 7 THEN '$:json' ELSE concat_ws(';', "
+    "CASE WHEN event_type = 'error' THEN '$.contact:required' END, CASE WHEN event_type IN ('view', 'error') THEN '$.kind:enum' END, "
+    "CASE WHEN value < 1 THEN '$.amount:minimum' END, CASE WHEN value >= 100 THEN '$.amount:exclusiveMaximum' END, "
+    "CASE WHEN event_type <> 'error' AND user_id % 3 = 0 THEN '$.contact.email:format' END, "
+    "CASE WHEN k = user_id % 10 THEN '$.marks:uniqueItems' END, CASE WHEN k > 89 THEN '$.marks[0]:maximum' END) END AS failures FROM e) "
+    "SELECT *, failures = '' AS valid FROM f"
+)
+def schema_rules(spark, sf_dir):
+    k, host = F.get_json_object("props", "$.k").cast("int"), F.when(F.col("user_id") % 3 == 0, "").otherwise("@example.org")
+    contact = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string"), host).alias("email"))
+    members = [
+        F.col("event_type").alias("kind"),
+        F.col("value").alias("amount"),
+        F.when(F.col("event_type") != "error", contact).alias("contact"),
+        F.array(k.cast("bigint"), F.col("user_id") % 10).alias("marks"),
+    ]
+    text = F.to_json(F.struct(*members))
+    cut_off = (F.col("event_type") == "view") & (k == 7)
+    records = table(spark, sf_dir, "events").select("event_id", F.when(cut_off, F.substring(text, 1, 20)).otherwise(text).alias("text"))
+    done = rules.checked(records, "text", EVENT_RECORD)
+    failing = F.array_join(F.transform("failures", lambda f: F.concat_ws(":", f["path"], f["rule"])), ";")
+    return done.select("event_id", failing.alias("failures"), "valid")
+
+
 @registered(
     "SELECT doc_id, CASE WHEN lang = 'fr' THEN 'failure' ELSE 'loaded' END AS outcome FROM documents"
 )
