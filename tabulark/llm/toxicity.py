@@ -3,19 +3,19 @@
 Two models of order ``ORDER`` predict each letter of a word from the letters before it, one from toxic and one from
 ordinary labelled documents. Their highest order holds class counts; all lower orders are shared, so that rare
 expressions fall back on continuation counts (how many different letters precede a letter group) gathered from the
-distinct words of every document, labelled or not. A word's evidence is the difference of its two
+words of every document, labelled or not. A word's evidence is the difference of its two
 log-likelihoods divided by its length; a document's is that of its most toxic word, so one insult
 in a long text is not diluted. A logistic curve turns it into a score.
 
-Counts live in tables of fixed size: letters have 64 codes and histories are hashed to a fixed number of rows, so the model has
-the same size whatever the corpus, while the counts in it grow. Only such tables meet on the driver.
+Counts are exact, one row per letter group in tables that grow with the corpus; letters are code points of any script.
+Tasks add up what they meet, groups are summed and joined by Spark. What scoring needs are log ratios of the groups that
+labelled texts hold: up to ``MODEL_ROWS`` of them are sent to the workers, more are joined to the words of the texts. Both
+ways give the same scores.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,217 +23,211 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.llm.common import BROADCAST_ROWS, KEYS
+from tabulark.llm.common import bounded, free_names
 from tabulark.scratch import cut
 
-# Letters of a group; rows of the history table for 0, 1, 2, ... letters of history, as powers of two.
+# Letters of a group: the history and the letter it predicts.
 ORDER = 5
-HISTORY_BITS = (0, 6, 11, 14, 15)
-CODES = 64
 DISCOUNT = 0.75
-# Distinct words a worker counts or remembers at a time.
+# Distinct words a worker counts or remembers, and letter groups it adds up, at a time.
 WORDS = 300_000
-# Cells of a table that travel as one row; partial sums that one task of the first merge adds.
-CELLS = 1 << 15
-MERGE = 64
+GROUPS = 1_000_000
+# Rows of a model that travel to the workers whole.
+MODEL_ROWS = 500_000
 # The curve is fitted on labelled rows that were not counted, one of SPARED, and on so many at most.
 SPARED = 4
 CALIBRATION_ROWS = 20_000
 
 WORD = re.compile(r"[^\W\d_]+")
-
-
-def _alphabet() -> np.ndarray:
-    """Code of each code point: 0 ends a word, 1 to 26 the letters a to z, the others share the remaining ones."""
-    codes = 27 + np.arange(0x110000) % (CODES - 27)
-    codes[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    codes[ord("\n")] = 0
-    return codes
+# Stands before a word's first letter, as often as a history is long, and once after its last.
+EDGE = "\n"
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def cells_of(words: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """For each letter and end of the words: its word's place, then per order its table cell and the code before its history."""
-    code = alphabet[np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)]
-    n = len(code)
-    place = np.cumsum(code == 0)[:-1] - 1
-    inside, history = np.ones(n, bool), np.zeros(n, np.uint64)
-    cells, before = [], []
-    for order, bits in enumerate(HISTORY_BITS):
-        row = history ^ (history >> np.uint64(29))
-        row = (row * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
-        cells.append((row.astype(np.int64) * CODES + code)[1:])
-        letter = np.zeros(n, np.int64)
-        letter[order + 1 :] = code[: max(0, n - order - 1)]
-        letter = np.where(inside, letter, 0)
-        before.append(letter[1:])
-        inside = inside & (letter != 0)
-        factor = np.uint64(pow(0x9E3779B97F4A7C15, order + 1, 1 << 64) | 1)
-        history = history + (letter.astype(np.uint64) + np.uint64(1)) * factor
-    return place, cells, before
-
-
-def table_sizes() -> list[tuple[str, int]]:
-    """Name and cells of the tables: class counts of the highest order, then preceding letters (as bits) of the lower ones."""
-    top = CODES << HISTORY_BITS[ORDER - 1]
-    return [("ordinary", top), ("toxic", top), *[(f"before{k}", CODES << HISTORY_BITS[k]) for k in range(ORDER - 1)]]
-
-
-COUNTS = "name string, chunk int, task bigint, cells binary"
-CELL_NAMES = ["name", "chunk", "task", "cells"]
-CELL_TYPES = [pa.string(), pa.int32(), pa.int64(), pa.binary()]
-
-
-def _packed(name: str, chunk: int, task: int, cells: np.ndarray) -> tuple:
-    return name, chunk, task, zlib.compress(cells.astype("<u8").tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<u8")
-
-
-def _joined(name: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return x | y if name.startswith("before") else x + y
+def groups_of(word: str) -> list[str]:
+    """A letter group for each letter of a word and for its end."""
+    padded = EDGE * (ORDER - 1) + word + EDGE
+    return [padded[i : i + ORDER] for i in range(len(word) + 1)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    alphabet = _alphabet()
-    tables = {name: np.zeros(size, np.uint64) for name, size in table_sizes()}
-    seen: Counter = Counter()
-    counted: dict[str, Counter] = {"ordinary": Counter(), "toxic": Counter()}
+    seen: set[str] = set()
+    counted = {"toxic": Counter(), "ordinary": Counter()}
+    sums: dict[str, list[int]] = {}
 
     def gather():
-        words = list(seen)
-        if not words:
-            return
-        place, cells, before = cells_of(words, alphabet)
-        for label, own in counted.items():
-            weight = np.fromiter((own[w] for w in words), np.int64, len(words))[place]
-            used = weight > 0
-            sums = np.bincount(cells[ORDER - 1][used], weight[used], len(tables[label]))
-            tables[label] += sums.astype(np.uint64)
-            own.clear()
-        for k in range(ORDER - 1):
-            np.bitwise_or.at(tables[f"before{k}"], cells[k], np.uint64(1) << before[k].astype(np.uint64))
+        for word in seen:
+            toxic, ordinary = counted["toxic"][word], counted["ordinary"][word]
+            for group in groups_of(word):
+                own = sums.setdefault(group, [0, 0])
+                own[0] += toxic
+                own[1] += ordinary
         seen.clear()
+        for own in counted.values():
+            own.clear()
+
+    def rows():
+        columns = [list(sums), [s[0] for s in sums.values()], [s[1] for s in sums.values()]]
+        sums.clear()
+        types = [pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["gram", "toxic", "ordinary"])
 
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
             words = words_of(text.as_py())
-            seen.update(dict.fromkeys(words, 0))
+            seen.update(words)
             if toxic is not None:
                 counted["toxic" if toxic else "ordinary"].update(words)
             if len(seen) > WORDS:
                 gather()
+                if len(sums) > GROUPS:
+                    yield rows()
     gather()
-    task = TaskContext.get().partitionId()
-    for name, table in tables.items():
-        rows = [
-            _packed(name, low // CELLS, task, table[low : low + CELLS])
-            for low in range(0, len(table), CELLS)
-            if table[low : low + CELLS].any()
-        ]
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), CELL_TYPES)], names=CELL_NAMES
-            )
+    yield rows()
 
 
-def _merged(counts: DataFrame, *by: str) -> DataFrame:
-    """Add up the cells of rows with the same name, chunk and ``by``."""
+def train_counts(docs: DataFrame) -> DataFrame:
+    """Letter groups of all rows of ``docs`` (text, toxic: 0, 1 or null where there is no label to learn from).
 
-    def add(key, table):
-        name, chunk, total = key[0].as_py(), key[1].as_py(), None
-        for data in table.column("cells"):
-            cells = _unpacked(data.as_py())
-            total = cells if total is None else _joined(name, total, cells)
-        row = _packed(name, chunk, key[2].as_py() if by else 0, total)
-        return pa.table({c: pa.array([v], t) for c, v, t in zip(CELL_NAMES, row, CELL_TYPES)})
+    One row per ``gram``, with how often it stands in toxic and in ordinary texts; groups of texts without a label have zeros.
+    """
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    parts = rows.mapInArrow(_count, "gram string, toxic bigint, ordinary bigint")
+    return cut(parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
 
-    return counts.groupBy("name", "chunk", *by).applyInArrow(add, COUNTS)
+
+def _history(letters: int) -> Column:
+    return F.substring("gram", 1, letters).alias("history")
+
+
+def shared_model(grams: DataFrame) -> DataFrame:
+    """(lower, p): the shared probability of the last letter of each group one letter shorter than ``gram``.
+
+    Each order discounts how many different letters precede a group and spreads the rest as the order below says; at the
+    bottom all letters are alike, so what a letter gives up it gets back.
+    """
+    tables = {ORDER: grams}
+    for size in range(ORDER - 1, 0, -1):
+        shorter = tables[size + 1].groupBy(F.substring("gram", 2, size).alias("gram"))
+        tables[size] = cut(shorter.agg(F.count(F.lit(1)).alias("n")), f"before{size}")
+    total = float(tables[1].agg(F.sum("n")).first()[0] or 1)
+    lower = tables[1].select(F.col("gram").alias("lower"), (F.col("n") / total).alias("p"))
+    for size in range(2, ORDER):
+        totals = tables[size].groupBy(_history(size - 1)).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        here = tables[size].withColumn("history", _history(size - 1)).withColumn("lower", F.substring("gram", 2, size - 1))
+        p = (F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("p")) / F.col("total")
+        lower = here.join(totals, "history").join(lower, "lower").select(F.col("gram").alias("lower"), p.alias("p"))
+    return lower
+
+
+def ratios(grams: DataFrame) -> DataFrame:
+    """(gram, ratio): log-likelihood as toxic less that as ordinary, for each group that a labelled text holds.
+
+    A row whose ``gram`` is a history alone is for all its letters that no labelled text has there: the shared
+    probability is the same on both sides, so only what the classes leave to it differs. Other groups have ratio 0.
+    """
+    known = grams.where("toxic + ordinary > 0").withColumn("history", _history(ORDER - 1))
+    sums = [F.sum(c).alias(f"{c}_total") for c in ("toxic", "ordinary")] + [F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "ordinary")]
+    totals = known.groupBy("history").agg(*sums)
+
+    def left(name: str) -> Column:
+        total, kinds = F.col(f"{name}_total"), F.col(f"{name}_kinds")
+        return F.when(total > 0, DISCOUNT * kinds / total).otherwise(1.0)
+
+    def share(name: str) -> Column:
+        own = F.greatest(F.col(name) - F.lit(DISCOUNT), F.lit(0.0)) / F.greatest(F.col(f"{name}_total"), F.lit(1))
+        return own + left(name) * F.col("p")
+
+    seen = known.withColumn("lower", F.substring("gram", 2, ORDER - 1)).join(shared_model(grams), "lower").join(totals, "history")
+    unseen = totals.select(F.col("history").alias("gram"), F.log(left("toxic") / left("ordinary")).alias("ratio"))
+    return seen.select("gram", F.log(share("toxic") / share("ordinary")).alias("ratio")).unionByName(unseen)
 
 
 @dataclass
 class Model:
-    """Class counts and shared continuation counts, and the curve from evidence to score."""
+    """A written table of log ratios, and the curve from evidence to score."""
 
-    tables: dict[str, np.ndarray]
+    ratios: DataFrame
     slope: float = 0.0
     shift: float = 0.0
 
-    def prepare(self) -> Model:
-        """Row totals, made once in each worker."""
-        self.alphabet = _alphabet()
-        self.rows = {}
-        for name, table in self.tables.items():
-            counts = np.bitwise_count(table) if name.startswith("before") else table
-            counts = counts.astype(np.float32).reshape(-1, CODES)
-            self.rows[name] = counts, counts.sum(axis=1), (counts > 0).sum(axis=1)
-        return self
-
-    def _step(self, name: str, cells: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Absolute discounting of one order, the discounted mass spread as the order below says."""
-        counts, totals, kinds = self.rows[name]
-        row = cells // CODES
-        total, own = totals[row].astype(np.float64), counts[row, cells % CODES].astype(np.float64)
-        share = (np.maximum(own - DISCOUNT, 0) + DISCOUNT * kinds[row] * lower) / np.maximum(total, 1)
-        return np.where(total > 0, share, lower)
-
-    def evidence(self, words: list[str]) -> np.ndarray:
-        """Per word, log-likelihood as toxic less that as ordinary, by its letters and end."""
-        place, cells, _ = cells_of(words, self.alphabet)
-        shared = np.full(len(place), 1 / CODES)
-        for k in range(ORDER - 1):
-            shared = self._step(f"before{k}", cells[k], shared)
-        ratio = np.log(self._step("toxic", cells[ORDER - 1], shared))
-        ratio -= np.log(self._step("ordinary", cells[ORDER - 1], shared))
-        return np.bincount(place, ratio, len(words)) / np.bincount(place, minlength=len(words))
-
-
-def train_counts(docs: DataFrame) -> dict[str, np.ndarray]:
-    """The tables, from all rows of ``docs`` (text, toxic: 0, 1 or null where there is no label to learn from)."""
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    parts = rows.mapInArrow(_count, COUNTS)
-    parts = _merged(parts.withColumn("task", F.floor(F.col("task") / MERGE).cast("bigint")), "task")
-    tables = {name: np.zeros(size, np.uint64) for name, size in table_sizes()}
-    # A fixed number of rows: one for each chunk of each table.
-    for row in _merged(parts).collect():
-        cells = _unpacked(row["cells"])
-        tables[row["name"]][row["chunk"] * CELLS : row["chunk"] * CELLS + len(cells)] = cells
-    return tables
+
+def word_evidence(word: str, ratio: dict[str, float]) -> float:
+    total = 0.0
+    for group in groups_of(word):
+        own = ratio.get(group)
+        total += ratio.get(group[:-1], 0.0) if own is None else own
+    return total / (len(word) + 1)
 
 
-def evidence_of(spark: SparkSession, model: Model):
+def _evidence_of_known(model: Model, ratio: dict[str, float]):
     """Column function: the evidence of a text's most toxic word; 0 where there is no word."""
-    shipped = spark.sparkContext.broadcast((model.tables, model.slope, model.shift))
+    shipped = model.ratios.sparkSession.sparkContext.broadcast(ratio)
 
     @F.pandas_udf("double")
     def worst(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, own = {}, Model(*shipped.value).prepare()
+        ratio, known = shipped.value, {}
         for texts in parts:
             found = []
             for text in texts:
                 words = set(words_of(text))
                 new = [w for w in words if w not in known]
-                if new:
-                    if len(known) > WORDS:
-                        known.clear()
-                        new = list(words)
-                    known.update(zip(new, own.evidence(new).tolist()))
+                if new and len(known) > WORDS:
+                    known.clear()
+                    new = words
+                for word in new:
+                    known[word] = word_evidence(word, ratio)
                 found.append(max(map(known.__getitem__, words), default=0.0))
             yield pd.Series(found, dtype="float64")
 
     return worst
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, text in zip(batch.column(0), batch.column(1)):
+            words = list(set(words_of(text.as_py())))
+            yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(words), pa.string()), pa.array(words, pa.string())], names=["key", "word"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for word in batch.column(0).to_pylist():
+            counts = Counter(groups_of(word))
+            columns = [[word] * len(counts), list(counts), list(counts.values()), [len(word) + 1] * len(counts)]
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["word", "gram", "n", "size"])
+
+
+def _evidence_by_joins(texts: DataFrame, model: Model) -> DataFrame:
+    """(key, x): the evidence of each distinct text (key, text), whatever the size of the model."""
+    words = cut(texts.mapInArrow(_words, "key string, word string"), "words")
+    groups = words.select("word").distinct().mapInArrow(_groups, "word string, gram string, n bigint, size bigint")
+    history = model.ratios.select(F.col("gram").alias("history"), F.col("ratio").alias("otherwise"))
+    joined = groups.withColumn("history", _history(ORDER - 1)).join(model.ratios, "gram", "left").join(history, "history", "left")
+    each = F.col("n") * F.coalesce("ratio", "otherwise", F.lit(0.0)) / F.col("size")
+    evidence = joined.groupBy("word").agg(F.sum(each).alias("x"))
+    return cut(words.join(evidence, "word").groupBy("key").agg(F.max("x").alias("x")), "evidence")
+
+
+def with_evidence(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """The rows of ``docs`` with the evidence of their texts as column ``name``, which is none of theirs."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    if model.ratios.count() <= MODEL_ROWS:
+        ratio = {row["gram"]: row["ratio"] for row in model.ratios.collect()}
+        return docs.select("*", _evidence_of_known(model, ratio)(text).alias(name))
+    key = F.sha2(text, 256)
+    found = _evidence_by_joins(docs.select(key.alias("key"), text.alias("text")).dropDuplicates(["key"]), model)
+    joined = docs.join(found, key == found["key"], "left")
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(found["x"], F.lit(0.0)).alias(name))
+
+
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray, penalty: float = 1e-6) -> tuple[float, float]:
     """Slope and shift of a logistic curve by Newton steps, with smoothed targets."""
     n1, n0 = float(toxic.sum()), float((1 - toxic).sum())
@@ -271,19 +265,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ``CALIBRATION_ROWS`` with the smallest hash at most, on which the curve is fitted. All others are counted. Without a toxic or without an ordinary label every score is
     that of the class there is, and 0 with no label at all.
     """
-    spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = cut(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labels")
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     spared = F.pmod(F.xxhash64("doc_id"), F.lit(SPARED)) == 0
     few = known.where(spared).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    few = F.broadcast(cut(few, "calibration"))
-    counted = known.join(few.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("doc_id", "known_id")
+    few = cut(few.withColumnRenamed("doc_id", "known_id"), "calibration")
+    # Ids and labels alone; beyond the bound texts meet them in a shuffled join.
+    counted = cut(known.join(F.broadcast(few.select("known_id")), F.col("doc_id") == F.col("known_id"), "left_anti"), "counted")
+    counted = bounded(counted.withColumnRenamed("doc_id", "known_id"))
     texts = docs.select("doc_id", "text").join(counted, F.col("doc_id") == F.col("known_id"), "left")
-    model = Model(train_counts(texts))
-    worst = evidence_of(spark, model)
-    chosen = docs.select("doc_id", "text").join(few, "doc_id")
-    points = chosen.select(worst(F.coalesce("text", F.lit(""))).alias("x"), "toxic").groupBy(F.round("x", 2).alias("x"), "toxic")
+    model = Model(cut(ratios(train_counts(texts)), "ratios"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("known_id"))
+    points = with_evidence(chosen, model, "x").groupBy(F.round("x", 2).alias("x"), "toxic")
     # Evidence to two places: a few hundred rows, whatever the number of documents.
     rows = points.agg(F.count(F.lit(1)).alias("n")).collect()
     x = np.repeat([r["x"] for r in rows], [r["n"] for r in rows]) if rows else np.zeros(0)
@@ -298,6 +291,6 @@ def scored(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     Only the text is looked at, all of it. A null text, an empty one and one without letters have no evidence and
     get the curve's value at 0. Repeated rows are scored alike; no rows give none.
     """
-    worst = evidence_of(docs.sparkSession, model)
-    others = [docs[f"`{c}`"] for c in docs.columns if c != name]
-    return docs.select(*others, score_of(worst(F.coalesce(docs["text"], F.lit(""))), model).alias(name))
+    (evidence,) = free_names(docs, "evidence")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != name]
+    return with_evidence(docs, model, evidence).select(*others, score_of(F.col(f"`{evidence}`"), model).alias(name))
