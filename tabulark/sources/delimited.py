@@ -15,6 +15,9 @@ MAX_HEADING = 64
 HASH_LENGTH = 4
 # The column of a record that does not fit its heading.
 BAD = "__rejected_record__"
+# A block is worked on in stretches of 2 ** STRETCH_BITS lines.
+STRETCH_BITS = 10
+STRETCH = ["file", "block", "stretch"]
 
 
 def heading(name: str) -> str:
@@ -82,8 +85,9 @@ def record_lines(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     """The records (``value``) of CSV files as text, blank lines too, less each file's heading and what stands before it.
 
     Line breaks inside quotes stay in their record, as ``\\n``. Where no line ends inside quotes, lines are records and nothing moves.
-    Otherwise every block works out, in one task of its own, how it would end if it began outside or inside quotes; a table
-    of one row per block then tells which it was. Only lines of records with breaks are put together, by record.
+    Otherwise every stretch of lines of a block works out how it would end if it began outside or inside quotes; a table
+    of one row per stretch then tells which it was. Stretches are dealt evenly, so no task reads more with larger files.
+    Only lines of records with breaks are put together, by record.
     A quote inside a cell that does not begin with one is text.
     """
     lines = _lines(spark, path)
@@ -91,28 +95,29 @@ def record_lines(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     if not (multi_line and _has_breaks(lines)):
         return _without_headings(lines, lines.groupBy("file", "block").agg(F.min(filled).alias("first"))).select("value")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    turned = lines.withColumns({"from0": _opens(F.col("value")).cast("int"), "from1": (1 - quotes % 2).cast("int")})
-    within = Window.partitionBy("file", "block").orderBy("at")
+    turned = lines.withColumn("stretch", F.shiftright("at", STRETCH_BITS))
+    turned = turned.withColumns({"from0": _opens(F.col("value")).cast("int"), "from1": (1 - quotes % 2).cast("int")})
+    within = Window.partitionBy(*STRETCH).orderBy("at")
     turned = _with_states(turned, within)
     for k in (0, 1):
         turned = turned.withColumn(f"after{k}", F.when(F.col(f"before{k}") == 0, F.col("from0")).otherwise(F.col("from1")))
         begun = F.last(F.when(F.col(f"before{k}") == 0, F.col("at")), ignorenulls=True)
         turned = turned.withColumn(f"begun{k}", begun.over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    kept = ["file", "block", "at", "value", *[f"{name}{k}" for name in ("before", "after", "begun") for k in (0, 1)]]
+    kept = [*STRETCH, "at", "value", *[f"{name}{k}" for name in ("before", "after", "begun") for k in (0, 1)]]
     turned = cut(turned.select(*kept), "csv-lines")
     ends = [F.max_by(f"{name}{k}", "at").alias(f"{new}{k}") for name, new in (("after", "from"), ("begun", "begun")) for k in (0, 1)]
-    blocks = turned.groupBy("file", "block").agg(F.min(filled).alias("first"), *ends)
-    # One row per block of a file.
-    along = Window.partitionBy("file").orderBy("block")
-    blocks = _with_states(blocks, along).withColumn("inside", F.col("before0"))
+    stretches = turned.groupBy(*STRETCH).agg(F.min(filled).alias("first"), *ends)
+    # One row per stretch of a file.
+    along = Window.partitionBy("file").orderBy("block", "stretch")
+    stretches = _with_states(stretches, along).withColumn("inside", F.col("before0"))
     begun = F.when(F.col("inside") == 0, F.col("begun0")).otherwise(F.col("begun1"))
     carried = F.last(begun, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    blocks = cut(blocks.withColumn("carried", carried).select("file", "block", "first", "inside", "carried"), "csv-blocks")
+    stretches = cut(stretches.withColumn("carried", carried).select(*STRETCH, "first", "inside", "carried"), "csv-stretches")
 
     def of(name: str) -> Column:
         return F.when(F.col("inside") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
 
-    placed = turned.join(blocks.drop("first"), ["file", "block"]).select(
+    placed = turned.join(stretches.drop("first"), STRETCH).select(
         "file", "block", "value", "at", of("before").alias("before"), of("after").alias("after"), F.coalesce(of("begun"), "carried").alias("begun")
     )
     whole = (F.col("before") == 0) & (F.col("after") == 0)
@@ -120,13 +125,14 @@ def record_lines(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
     broken = placed.where(~whole).groupBy("file", F.col("begun").alias("at")).agg(pieces.alias("pieces"))
     broken = broken.select("file", F.col("pieces")[0]["block"].alias("block"), "at", F.array_join(F.col("pieces.value"), "\n").alias("value"))
     records = placed.where(whole).select("file", "block", "at", "value").unionByName(broken)
-    return _without_headings(records, blocks).select("value")
+    return _without_headings(records, stretches).select("value")
 
 
-def _without_headings(records: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Records behind their file's heading, its first record that is not blank; ``first`` is the first such line of a block."""
-    headings = blocks.where("first is not null").groupBy("file").agg(F.min(F.struct("block", "first")).alias("heading"))
-    joined = records.join(headings, "file", "left")
+def _without_headings(records: DataFrame, stretches: DataFrame) -> DataFrame:
+    """Records behind their file's heading, its first record that is not blank; ``first`` is the first such line of a block or stretch."""
+    headings = stretches.where("first is not null").groupBy("file").agg(F.min(F.struct("block", "first")).alias("heading"))
+    # One row per file; by file, a large file's records would meet in one task.
+    joined = records.join(F.broadcast(headings), "file", "left")
     return joined.where(F.struct("block", "at") > F.struct("heading.block", "heading.first"))
 
 

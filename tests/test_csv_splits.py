@@ -71,3 +71,21 @@ def test_records_that_do_not_fit_are_kept_whole(spark, small_splits, tmp_path):
 def test_only_a_heading_and_nothing(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,note\n")
     assert delimited.import_delimited(spark, str(tmp_path / "a.csv")).collect() == []
+
+
+def test_a_block_is_worked_on_in_stretches(spark, tmp_path, monkeypatch):
+    draw = random.Random(5)
+    rows = [[str(i), "".join(draw.choices(["a", "\n", '"', ",", ' "'], k=draw.randint(0, 9)))] for i in range(3000)]
+    with open(tmp_path / "one.csv", "w", newline="") as out:
+        csv.writer(out, lineterminator="\n").writerows([["id", "text"], *rows])
+    for bits in (0, 3, 10):  # a stretch of one line, of 8, of 1024
+        monkeypatch.setattr(delimited, "STRETCH_BITS", bits)
+        written = {}
+        kept = delimited.cut
+        with monkeypatch.context() as patched:
+            patched.setattr(delimited, "cut", lambda df, label: written.setdefault(label, kept(df, label)))
+            assert plain(delimited.import_delimited(spark, str(tmp_path)).collect()) == plain(rows)
+        lines = written["csv-lines"]
+        assert lines.select("file", "block").distinct().count() == 1
+        assert lines.groupBy(*delimited.STRETCH).count().agg({"count": "max"}).first()[0] <= 2**bits
+        assert written["csv-stretches"].count() == lines.select(*delimited.STRETCH).distinct().count()
