@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulark.llm.common import KEYS, bounded, keyed, same_key, text_key_of
+from tabulark.llm.common import KEYS, free_names, keyed, text_key, text_key_of
 from tabulark.scratch import cut
 
 # Words of the groups among which a window's anchor is the smallest.
@@ -31,6 +31,9 @@ STEP = 1 << 16
 # An odd multiplier and its inverse modulo 2**64, for hashes of word runs from running sums.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+# Bits for each text of a table that few texts are in, and the bits there are at least and at most.
+SPARE = 8
+FEWEST_BITS, MOST_BITS = 1 << 15, 1 << 29
 # Windows of one phrase at most, as they are marked by the bits of a number.
 MARKS = 60
 
@@ -125,6 +128,24 @@ def _windows(width: int):
     return run
 
 
+def with_likely(texts: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``: whether the text with this key may be in the written ``table``; never false for one that is.
+
+    A bitmap of about a byte for each text of the table is broadcast, 64 MB at most. So only texts that are
+    likely to find their rows are moved to them.
+    """
+    bits = min(max(1 << (SPARE * table.count()).bit_length(), FEWEST_BITS), MOST_BITS)
+    slot = lambda k: F.pmod(k, F.lit(bits))
+    part, bitmap = free_names(texts, "part", "bitmap")
+    marks = table.select(slot(F.col("text_key")).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias(part))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(bitmap))
+    place = F.bitmap_bit_position(slot(key))
+    byte = F.substring(F.col(bitmap), F.floor(place / 8).cast("int") + 1, F.lit(1))
+    found = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (place % 8).cast("int")) == 1
+    met = texts.join(F.broadcast(marks), F.bitmap_bucket_number(slot(key)) == F.col(part), "left")
+    return met.select(*[texts[f"`{c}`"] for c in texts.columns], F.coalesce(found, F.lit(False)).alias(name))
+
+
 def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text_key, firsts, bits): per document, phrase starts and, as bits, which windows from there repeat."""
     rows = keyed(docs).select(*KEYS, F.col("text").cast("binary").alias("data"))
@@ -144,8 +165,11 @@ def repeated_windows(docs: DataFrame, width: int) -> DataFrame:
         F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in (*KEYS, "first", "windows")]
     )
     asked = F.collect_list(F.struct("anchor", "phrase", "copies", "first", "windows"))
-    wanted = bounded(cut(single.groupBy(*KEYS).agg(asked.alias("wanted")), "boundaries"), 50_000)
-    held = rows.join(wanted, same_key(rows, wanted, KEYS)).select("data", "wanted")
+    wanted = cut(single.groupBy(*KEYS).agg(asked.alias("wanted")), "boundaries")
+    likely = with_likely(rows, rows["text_key"], wanted, "likely").where("likely")
+    # A row's list has no bound, so however few rows there are they are not broadcast.
+    asking = wanted.select(F.col("doc_id").alias("by_id"), F.col("text_key").alias("by_key"), "wanted").hint("merge")
+    held = likely.join(asking, F.col("doc_id").eqNullSafe(F.col("by_id")) & (F.col("text_key") == F.col("by_key"))).select("data", "wanted")
     windows = cut(held.mapInArrow(_windows(width), WINDOW), "windows")
     again = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
     mark = F.call_function("shiftleft", one, F.col("place"))
@@ -201,10 +225,21 @@ def without_repeats(docs: DataFrame, width: int = 35, name: str = "dedup") -> Da
     A null or empty text has no words. Rows that repeat a text remove each other's windows. Texts shorter than a window
     are kept whole. No rows give none.
     """
-    places = bounded(cut(repeated_windows(docs, width), "places"), 50_000)
-    same = docs["doc_id"].eqNullSafe(places["doc_id"]) & (text_key_of(docs) == places["text_key"])
+    places = cut(repeated_windows(docs, width), "places")
     remove = _removal(width)
-    joined = docs.join(places, same, "left")
-    data = F.coalesce(docs["text"], F.lit("")).cast("binary")
-    others = [docs[f"`{c}`"] for c in docs.columns if c != name]
-    return joined.select(*others, remove(data, places["firsts"], places["bits"]).alias(name))
+    others = [c for c in docs.columns if c != name]
+    likely, data, firsts, bits, by_id, by_key = free_names(docs, "likely", "data", "firsts", "bits", "by_id", "by_key")
+    known = with_likely(docs, text_key_of(docs), places, likely)
+    # Texts without repeats stay where they are; the others meet their places, whose lists have no bound.
+    found = places.toDF(by_id, by_key, firsts, bits).hint("merge")
+    same = F.col("doc_id").eqNullSafe(F.col(by_id)) & (text_key() == F.col(by_key))
+    moved = known.where(F.col(likely)).join(found, same, "left")
+    rest = known.where(~F.col(likely))
+
+    def laid(rows: DataFrame, first: Column, bit: Column) -> DataFrame:
+        whole = F.coalesce("text", F.lit("")).cast("binary")
+        return rows.select(*[F.col(f"`{c}`") for c in others], whole.alias(data), first.alias(firsts), bit.alias(bits))
+
+    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    both = laid(moved, F.col(firsts), F.col(bits)).union(laid(rest, none("int"), none("bigint")))
+    return both.select(*[F.col(f"`{c}`") for c in others], remove(F.col(data), F.col(firsts), F.col(bits)).alias(name))
