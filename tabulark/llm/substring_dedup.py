@@ -131,7 +131,7 @@ def _windows(width: int):
 def with_likely(texts: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
     """Adds ``name``: whether the text with this key may be in the written ``table``; never false for one that is.
 
-    A bitmap of about a byte for each text of the table is broadcast, 64 MB at most. So only texts that are
+    A bitmap of one or two bytes for each text of the table is broadcast, 64 MB at most. So only texts that are
     likely to find their rows are moved to them.
     """
     bits = min(max(1 << (SPARE * table.count()).bit_length(), FEWEST_BITS), MOST_BITS)
