@@ -26,6 +26,8 @@ UNKNOWN_PENALTY = 10.0
 LEAST = float("-inf")
 # Encoded stretches a worker remembers at most, and the longest it remembers.
 REMEMBERED, LONGEST = 1 << 19, 64
+# Up to this length the next merge is looked for among all neighbours, beyond it in a heap; no score is as bad as NEVER.
+SCANNED, NEVER = 32, float("inf")
 
 
 class Vocabulary:
@@ -140,14 +142,16 @@ class Encoder:
             return b""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, found = self.known, []
-        for stretch in self.stretches.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(stretch)
-            if ids is None:
-                ids = self._encode(stretch)
-                if len(stretch) <= LONGEST:
-                    known[stretch] = ids
-            found.append(ids)
+        known = self.known
+        stretches = self.stretches.findall(SPACE + text.replace(" ", SPACE))
+        found = list(map(known.get, stretches))
+        if None in found:
+            for at, ids in enumerate(found):
+                if ids is None:
+                    stretch = stretches[at]
+                    found[at] = ids = known.get(stretch) or self._encode(stretch)
+                    if len(stretch) <= LONGEST:
+                        known[stretch] = ids
         return b"".join(found)
 
 
@@ -155,21 +159,57 @@ class Merges(Encoder):
     """Whole texts to the ids of the model's own merges: of all neighbours that form a piece the best score goes first, then the leftmost.
 
     No merge crosses a boundary between stretches, nor one between two characters that no piece has side by side.
+    Short stretches need no heap: their few neighbours are looked through after each merge.
     """
 
     def __init__(self, model_file: str):
         super().__init__(model_file)
         self.beside = {piece[i : i + 2] for piece in self.vocabulary.pieces for i in range(len(piece) - 1)}
+        # The smallest goes first.
+        self.ranks = {piece: -score for piece, (_, score) in self.vocabulary.pieces.items()}
+        self.packed = {piece: struct.pack("<I", i) for piece, (i, _) in self.vocabulary.pieces.items()}
 
     def _encode(self, stretch: str) -> bytes:
-        ids, low = [], 0
-        for at in range(1, len(stretch) + 1):
-            if at == len(stretch) or stretch[at - 1 : at + 1] not in self.beside:
-                ids += self._merged(stretch[low:at])
+        beside, known, found, low = self.beside, self.known, [], 0
+        pairs = [a + b for a, b in zip(stretch, stretch[1:])]
+        if beside.issuperset(pairs):
+            return self._merged(stretch, pairs)
+        for at, pair in enumerate([*pairs, ""], 1):
+            if pair not in beside:
+                part = stretch[low:at]
+                ids = known.get(part)
+                if ids is None:
+                    ids = self._merged(part, pairs[low : at - 1])
+                    if len(part) <= LONGEST:
+                        known[part] = ids
+                found.append(ids)
                 low = at
+        return b"".join(found)
+
+    def _merged(self, text: str, pairs: list[str]) -> bytes:
+        """The ids of a text with these neighbours side by side, four bytes each."""
+        parts, rank = list(text), self.ranks.get
+        if len(text) > SCANNED:
+            parts, pairs = self._heaped(text), []
+        ranks = [rank(pair, NEVER) for pair in pairs]
+        while ranks and (best := min(ranks)) != NEVER:
+            at = ranks.index(best)
+            parts[at] = whole = parts[at] + parts.pop(at + 1)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + whole, NEVER)
+            if at < len(ranks):
+                ranks[at] = rank(whole + parts[at + 1], NEVER)
+        try:
+            return b"".join([self.packed[part] for part in parts])
+        except KeyError:
+            return b"".join([self.packed.get(part) or self._bytes(part) for part in parts])
+
+    def _bytes(self, part: str) -> bytes:
+        ids = [self.vocabulary.bytes_ids[b] for b in part.encode("utf-8", "surrogatepass")]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _merged(self, text: str) -> list[int]:
+    def _heaped(self, text: str) -> list[str]:
         pieces, n = self.vocabulary.pieces, len(text)
         parts, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[float, int, int]] = []
@@ -192,11 +232,7 @@ class Merges(Encoder):
                 before[after[left]] = left
             offer(before[left])
             offer(left)
-        ids = []
-        for part in filter(None, parts):
-            hit = pieces.get(part)
-            ids += [hit[0]] if hit else [self.vocabulary.bytes_ids[b] for b in part.encode("utf-8", "surrogatepass")]
-        return ids
+        return list(filter(None, parts))
 
 
 @lru_cache(maxsize=1)
